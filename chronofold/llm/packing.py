@@ -116,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     pieces = materialise(encode_pieces(docs, vocabulary, end_id, window, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def place(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def place(key, frame):
         frame = frame.sort_values("piece_row", kind="stable")
         which, offset = best_fit_decreasing(frame["length"].to_numpy(), window)
         return pd.DataFrame({"row": frame["piece_row"], "sequence_id": (int(key[0]) << 32) + which, "offset": offset})

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .packing import op10_packing
 from .token_counts import op1_token_counts
+from .token_shards import op3_token_shards
+from .warc import OP2_SQL, op2_warc_bundles
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc_bundles": op2_warc_bundles,
+    "op3_token_shards": op3_token_shards,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_bundles": OP2_SQL,
+}
