@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op10_packing
+from .simhash import op6_simhash_gray
 from .token_counts import op1_token_counts
 from .token_shards import op3_token_shards
 from .warc import OP2_SQL, op2_warc_bundles
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_token_shards": op3_token_shards,
+    "op6_simhash_gray": op6_simhash_gray,
     "op10_packing": op10_packing,
 }
 
