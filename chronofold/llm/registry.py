@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op10_packing
+from .quality import OP7_SQL, op7_quality_rules
 from .simhash import op6_simhash_gray
 from .token_counts import op1_token_counts
 from .token_shards import op3_token_shards
@@ -13,9 +14,11 @@ QUERIES = {
     "op2_warc_bundles": op2_warc_bundles,
     "op3_token_shards": op3_token_shards,
     "op6_simhash_gray": op6_simhash_gray,
+    "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_bundles": OP2_SQL,
+    "op7_quality_rules": OP7_SQL,
 }
