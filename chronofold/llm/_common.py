@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Characters of text handled at once by the block-wise Python operators.
 BLOCK_CHARS = 2_000_000
@@ -58,3 +59,18 @@ def text_blocks(texts: Iterable, limit: int = BLOCK_CHARS) -> Iterator[tuple[int
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list:
+    """(doc_id, label, text) rows: at most ``per_label`` documents of each label, by the order of a hash.
+
+    ``labelled`` has ``doc_id`` and ``label``.  Only identifiers are ranked and
+    shuffled; the texts of the few that stay are then picked in one scan.  Of
+    rows that share a doc_id the smallest text counts.
+    """
+    by_hash = Window.partitionBy("label").orderBy("h", "doc_id")
+    ranked = labelled.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct().withColumn("rank", F.row_number().over(by_hash))
+    picked = materialise(ranked.where(F.col("rank") <= per_label).select(F.col("doc_id").alias("s_id"), "label"), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(F.broadcast(picked), rows["doc_id"] == picked["s_id"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sorted(texts.collect(), key=lambda r: (r["doc_id"], str(r["label"])))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language import op8_language_crf
 from .packing import op10_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .simhash import op6_simhash_gray
 from .token_counts import op1_token_counts
 from .token_shards import op3_token_shards
+from .toxicity import op9_toxicity_knn
 from .warc import OP2_SQL, op2_warc_bundles
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_token_shards": op3_token_shards,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_crf": op8_language_crf,
+    "op9_toxicity_knn": op9_toxicity_knn,
     "op10_packing": op10_packing,
 }
 
