@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .additive_ann import op4_additive_ann
 from .language import op8_language_crf
 from .packing import op10_packing
 from .quality import OP7_SQL, op7_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_token_shards": op3_token_shards,
+    "op4_additive_ann": op4_additive_ann,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_crf": op8_language_crf,
