@@ -10,6 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronofold.cluster import ship
+
 #: Characters of text handled at once by the block-wise Python operators.
 BLOCK_CHARS = 2_000_000
 
@@ -40,7 +42,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def materialise(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = shared_dir(spark, kind)
+    path = shared_dir(ship(spark), kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,7 +60,7 @@ def text_blocks(texts: Iterable, limit: int = BLOCK_CHARS) -> Iterator[tuple[int
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.cluster import ship
+
 from ._common import bounded_sample, table, text_blocks
 
 #: Labelled documents learned from, at most for each language, and languages at most (the most frequent).
@@ -36,6 +38,8 @@ MAX_LANGUAGES = 64
 SAMPLE_CHARS = 4000
 WINDOW = 64
 UNDEFINED = "und"
+#: Least mean posterior of the best label: below it a text is in none of the known languages.
+MIN_SCORE = 0.25
 #: Words held by a worker's cache of emission scores.
 CACHE_WORDS = 250_000
 LONGEST_WORD = 64
@@ -251,9 +255,9 @@ def learn(docs: DataFrame, may_learn, per_language: int = SAMPLE_PER_LANGUAGE, c
     return field.fit([r["text"] for r in found], [r["label"] for r in found])
 
 
-def identify(docs: DataFrame, field: Field, passing: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and shares (label to mean posterior); ``passing`` keeps the row in ``row``."""
-    held = docs.sparkSession.sparkContext.broadcast(field)  # bounded by the sample
+def identify(docs: DataFrame, field: Field) -> DataFrame:
+    """doc_id, lang_pred, score and shares (label to mean posterior) of each row of ``docs``."""
+    held = ship(docs.sparkSession).sparkContext.broadcast(field)  # bounded by the sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kinds = pa.map_(pa.string(), pa.float64())
 
@@ -279,6 +283,22 @@ def identify(docs: DataFrame, field: Field, passing: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string, double>")
 
 
+def keep_known(docs: DataFrame, field: Field, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is one of the field's, with ``min_score`` at least."""
+    held = ship(docs.sparkSession).sparkContext.broadcast(field)  # bounded by the sample
+
+    def run(batches):
+        field = held.value
+        for batch in batches:
+            if not field.labels or not batch.num_rows:
+                continue
+            sums, counts = field.predict([t or "" for t in batch.column("text").to_pylist()])
+            known = (counts > 0) & (sums.max(axis=1) >= min_score * sums.sum(axis=1))
+            yield batch.filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 

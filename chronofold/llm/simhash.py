@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.cluster import ship
+
 from ._common import materialise, table
 
 SEED = 42
@@ -64,6 +66,7 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches):

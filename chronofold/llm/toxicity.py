@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.cluster import ship
+
 from ._common import bounded_sample, table
 
 #: Labelled texts that the index is fitted on, at most for each label, by the order of a hash.
@@ -207,7 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn, per_label: in
 def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids: list[int], k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score and evidence (nearest examples' doc_ids with cosines) of each row of ``docs``."""
     model = Model(texts, labels, k)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    held = ship(docs.sparkSession).sparkContext.broadcast(model)  # bounded by the sample
     ids = np.asarray(doc_ids, np.int64)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
