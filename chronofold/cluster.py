@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -20,3 +21,19 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, or below one made here where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofold-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/chronofold/{kind}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back: lineage ends there."""
+    path = shared_dir(ship(df.sparkSession), kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
