@@ -66,6 +66,34 @@ def classify(attempts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, DECISION_SCHEMA)
 
 
+def continue_sessions(attempts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``attempts`` (with digest) and their decisions, from where ``sessions`` left off.
+
+    A session goes first among its client's rows as the request it last accepted.
+    """
+    ship(attempts.sparkSession)
+    held = sessions.select("client", F.lit(-1).cast("long").alias("pos"), F.col("last_sequence").alias("request_seq"), "digest")
+    rows = attempts.select("client", "pos", "request_seq", "digest").unionByName(held).repartition("client").sortWithinPartitions("client", "pos")
+
+    def run(batches):
+        client, high, last = None, 0, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["client"] != client:
+                    client, high, last = r["client"], 0, None
+                own = r["pos"] < 0
+                decision = EXECUTE if own else decide(high, last, r["request_seq"], r["digest"])
+                if decision == EXECUTE:
+                    high, last = r["request_seq"], r["digest"]
+                if not own:
+                    out.append({"d_pos": r["pos"], "decision": decision})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("d_pos", pa.int64()), ("decision", pa.string())]))
+
+    decided = rows.mapInArrow(run, "d_pos long, decision string")
+    return attempts.join(decided, F.col("pos") == F.col("d_pos")).drop("d_pos")
+
+
 def high_water(attempts: DataFrame) -> DataFrame:
     """Each client's last accepted sequence, and attempts by decision."""
     return classify(attempts).groupBy("client").agg(F.max("high_water").alias("last_sequence"), F.count("*").alias("attempts"), F.count_if(F.col("decision") == EXECUTE).alias("executed"))

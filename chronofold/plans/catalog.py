@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-MODULES = ("operators.fold", "operators.admission", "operators.codecs", "operators.layout", "operators.replog", "operators.consensus", "operators.invariants", "operators.observe", "sources.segments", "streaming.admission")
+MODULES = ("operators.fold", "operators.admission", "operators.codecs", "operators.layout", "operators.replog", "operators.consensus", "operators.invariants", "operators.observe", "operators.sim", "sources.segments", "streaming.admission")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
