@@ -257,7 +257,7 @@ def decode_frame(data: bytes, max_payload: int, spec: FormatSpec = DEFAULT) -> t
         error = ChangelogError("CORRUPTION", "frame: checksum")
         error.size = size
         raise error
-    return seq, payload, size
+    return seq, bytes(payload), size
 
 
 def encode_snapshot(applied: int, kv: dict[bytes, bytes], sessions: dict[bytes, tuple], spec: FormatSpec = DEFAULT) -> bytes:

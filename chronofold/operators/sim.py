@@ -178,7 +178,7 @@ class Member:
 
 
 def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps: int, quiet: int = 300) -> list[tuple]:
-    """The trace of one schedule: faults for ``steps`` ticks, then ``quiet`` ticks without any."""
+    """The trace of one schedule: faults for ``steps`` ticks, then ``quiet`` without any, the last 50 without proposals."""
     rng = random.Random(seed)
     peers = tuple(range(1, nodes + 1))
     new = lambda n, era, **x: Member(ConsensusSettings(node=n, peers=peers, seed=seed * 31 + era), **x)
@@ -233,7 +233,7 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
         for n in peers:
             if n not in down:
                 members[n].tick()
-                if rng.random() < 0.1 and members[n].role == "Leader":
+                if rng.random() < 0.1 and tick < steps + quiet - 50 and members[n].role == "Leader":
                     given += 1
                     members[n].propose(f"c{given}")
                 settle(n, tick)

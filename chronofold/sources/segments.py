@@ -55,7 +55,7 @@ def write_segments(assigned: DataFrame, folder: str, spec: codec.FormatSpec = co
 
 
 def read_frames(spark: SparkSession, folder: str, settings: StorageSettings | None = None, spec: codec.FormatSpec = codec.DEFAULT) -> DataFrame:
-    """Every frame of the segment files of a folder; a damaged one is the last of its file and has ``error``."""
+    """The header (without ``seq``) and every frame of each segment file of a folder; a damaged one is the last and has ``error``."""
     most = (settings or StorageSettings()).checked().max_frame_payload
     files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "wal-*").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("segment"), "content")
@@ -67,10 +67,11 @@ def read_frames(spark: SparkSession, folder: str, settings: StorageSettings | No
         except ChangelogError as e:
             yield row(offset=0, size=0, error=e.detail)
             return
-        at = codec.model.SEGMENT_HEADER_BYTES
+        at, view = codec.model.SEGMENT_HEADER_BYTES, memoryview(data)
+        yield row(offset=0, size=at)
         while at < len(data):
             try:
-                seq, payload, size = codec.decode_frame(data[at:], most, spec)
+                seq, payload, size = codec.decode_frame(view[at:], most, spec)
             except codec.Incomplete:
                 yield row(offset=at, size=0, error="frame: incomplete", incomplete=True)
                 return
@@ -111,7 +112,7 @@ def recover(spark: SparkSession, folder: str, snapshot_seq: int = 0) -> tuple[Da
         if not torn:
             raise ChangelogError("CORRUPTION", f"{e['error']} in {e['segment']}")
         dropped = e["length"] - e["offset"]
-    good = frames.where("error IS NULL")
+    good = frames.where("error IS NULL AND seq IS NOT NULL")
     starts = names.select("segment", "start_seq", "end_seq", "sealed")
     per = good.groupBy("segment").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n"), F.countDistinct("seq").alias("d"))
     off = starts.join(per, "segment", "left").where("low <> start_seq OR high - low + 1 <> n OR d <> n OR (sealed AND NOT high <=> end_seq)")
