@@ -1,52 +1,20 @@
-"""Shared plumbing: the shared folder, a small file-system layer, text blocks."""
+"""Shared plumbing: text blocks, tables, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.cluster import ship
+from chronofold.cluster import filesystem, materialise, shared_dir, ship
+
+__all__ = ["bounded_sample", "filesystem", "materialise", "shared_dir", "ship", "table", "text_blocks"]
 
 #: Characters of text handled at once by the block-wise Python operators.
 BLOCK_CHARS = 2_000_000
 
 
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (unit tests on one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chronofold-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/chronofold/{kind}-{uuid.uuid4().hex}"
-
-
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and the path in it, for plain paths and any URI known to Arrow."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
-def materialise(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(ship(spark), kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_blocks(texts: Iterable, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """(start, end) runs of ``texts`` with about ``limit`` characters, one text at least."""
     start, held, i = 0, 0, 0
@@ -66,13 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list:
     """(doc_id, label, text) rows: at most ``per_label`` documents of each label, by the order of a hash.
 
-    ``labelled`` has ``doc_id`` and ``label``.  Only identifiers are ranked and
-    shuffled; the texts of the few that stay are then picked in one scan.  Of
-    rows that share a doc_id the smallest text counts.
+    ``labelled`` (doc_id, label; a table, as it is read twice) has few labels.
+    Labels are counted first, so that a hash threshold leaves a few times
+    ``per_label`` identifiers of each to rank, however many there are.  The texts
+    of those picked come from one scan.  Of rows that share a doc_id the smallest
+    text counts.
     """
+    span = 1 << 40
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(span, span * (4 * per_label + 64) // n))))
+    ranked = labelled.select("doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("h")).where(F.col("h") < F.element_at(share, F.col("label"))).distinct()
     by_hash = Window.partitionBy("label").orderBy("h", "doc_id")
-    ranked = labelled.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).distinct().withColumn("rank", F.row_number().over(by_hash))
-    picked = materialise(ranked.where(F.col("rank") <= per_label).select(F.col("doc_id").alias("s_id"), "label"), "sample")
+    picked = ranked.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_label)
+    picked = materialise(picked.select(F.col("doc_id").alias("s_id"), "label"), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.join(F.broadcast(picked), rows["doc_id"] == picked["s_id"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return sorted(texts.collect(), key=lambda r: (r["doc_id"], str(r["label"])))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import bounded_sample, table, text_blocks
+from ._common import bounded_sample, materialise, table, text_blocks
 
 #: Labelled documents learned from, at most for each language, and languages at most (the most frequent).
 SAMPLE_PER_LANGUAGE = 150
@@ -246,7 +246,8 @@ class Rows(dict):
 
 def learn(docs: DataFrame, may_learn, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on a bounded sample of the rows that ``may_learn`` (a test of doc_id) allows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), F.length("text").alias("n")).where(may_learn(F.col("doc_id")) & F.col("label").isNotNull() & F.col("n").between(1, chars)).select("doc_id", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), F.length("text").alias("n")).where(may_learn(F.col("doc_id")) & F.col("label").isNotNull() & F.col("n").between(1, chars))
+    rows = materialise(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "label"), "labelled")
     known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
     field = Field(sorted(known))
     if not known:

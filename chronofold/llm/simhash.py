@@ -336,7 +336,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     keep = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left")
-    return rows.where(F.col("kept_id").isNotNull() | docs["doc_id"].isNull()).select(*(docs[f"`{c}`"] for c in docs.columns))
+    return rows.where(keep["kept_id"].isNotNull() | docs["doc_id"].isNull()).select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import bounded_sample, table
+from ._common import bounded_sample, materialise, table
 
 #: Labelled texts that the index is fitted on, at most for each label, by the order of a hash.
 SAMPLE_PER_LABEL = 2500
@@ -202,7 +202,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn, per_label: in
     """Texts, labels and doc_ids of a bounded, repeatable sample of labelled documents."""
     own = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id IS NOT NULL AND y IN (0, 1)").groupBy("l_id").agg(F.max("y").alias("label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(may_learn(F.col("doc_id")) & F.length("text").between(1, chars)).select("doc_id")
-    found = bounded_sample(docs, rows.join(own, rows["doc_id"] == own["l_id"]), per_label)
+    labelled = materialise(rows.join(own, rows["doc_id"] == own["l_id"]).select("doc_id", "label"), "labelled")
+    found = bounded_sample(docs, labelled, per_label)
     return [r["text"] for r in found], [r["label"] for r in found], [r["doc_id"] for r in found]
 
 
