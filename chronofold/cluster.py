@@ -11,6 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -30,7 +31,8 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     if not base:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofold-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/chronofold/{kind}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/chronofold/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, kind: str) -> DataFrame:
@@ -47,3 +49,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
     return pafs.FileSystem.from_uri(uri)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this session wrote below the shared folder; results that still read it must be written first."""
+    context = spark.sparkContext
+    while _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
