@@ -19,7 +19,6 @@ nothing; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
@@ -45,9 +44,6 @@ CACHE_WORDS = 250_000
 LONGEST_WORD = 64
 TRAIN_WORDS_PER_LANGUAGE = 15_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
 def features(word: str) -> list[str]:
     """Lexicon, affix and n-gram features of a lower-cased word."""
     marked = f"<{word}>"
@@ -57,7 +53,8 @@ def features(word: str) -> list[str]:
 
 
 def letters_of(chunk: str) -> str:
-    return chunk.lower() if chunk.isalpha() else "".join(LETTERS.findall(chunk.lower()))
+    """Its letters (Unicode categories L*) in lower case."""
+    return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk.lower()))
 
 
 def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -236,4 +236,5 @@ def op9_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
     out = score_toxicity(docs, *sample)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = F.round("score", 6)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
