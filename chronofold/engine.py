@@ -22,7 +22,9 @@ from chronofold import model
 from chronofold.cluster import materialise
 from chronofold.functions import codec
 from chronofold.model import PUT, ChangelogError, StorageSettings
-from chronofold.operators import admission, fold, layout
+from chronofold.operators import admission, fold
+from chronofold.sources.changelog import global_sequence
+from chronofold.trace import Recorder
 
 SERVING, FAULTED, CLOSED = "Serving", "Faulted", "Closed"
 
@@ -30,9 +32,11 @@ SERVING, FAULTED, CLOSED = "Serving", "Faulted", "Closed"
 class Engine:
     """``directory`` is a path that the driver and all executors share."""
 
-    def __init__(self, spark: SparkSession, directory: str, settings: StorageSettings | None = None, on_event=None):
+    def __init__(self, spark: SparkSession, directory: str, settings: StorageSettings | None = None, on_event=None, on_trace=None):
         self.spark, self.dir, self.settings = spark, directory, (settings or StorageSettings()).checked()
-        self.emit = on_event or (lambda name, **x: None)
+        self.emit, self.on_trace = on_event or (lambda name, **x: None), on_trace
+        self.queue: list[tuple] = []
+        self.tickets = 0
         self.counters = dict.fromkeys(("gets", "puts", "deletes", "dup_hits", "rejections", "storage_failures"), 0)
         self.state = "Recovering"
         os.makedirs(directory, exist_ok=True)
@@ -142,21 +146,27 @@ class Engine:
         a batch continues where the one before ended.
         """
         self._ready()
+        trace = Recorder("apply", self.on_trace)
         try:
-            return self._apply(requests)
-        except ChangelogError:
+            results = self._apply(requests, trace)
+            trace.finish(self.applied)
+            return results
+        except ChangelogError as e:
+            trace.abandon(e.code)
             raise
         except Exception as e:
+            trace.abandon("STORAGE")
             self.counters["storage_failures"] += 1
             self.state = FAULTED
             self.emit("engine.faulted")
             raise ChangelogError("STORAGE", "the outcome of the batch is unknown", e) from e
 
-    def _apply(self, requests: DataFrame) -> DataFrame:
+    def _apply(self, requests: DataFrame, trace: Recorder) -> DataFrame:
         s = self.settings
         rows = materialise(requests, "requests")
         valid = admission.validate_requests(rows, s.max_key_bytes, s.max_value_bytes)
         rows = rows.join(valid.withColumnRenamed("pos", "v_pos"), F.col("pos") == F.col("v_pos")).drop("v_pos")
+        trace.span("validate")
         good = rows.where("code = 'OK'").drop("code", "reason").withColumn("digest", codec.command_digest(F.col("kind"), F.col("key"), F.col("value")))
         held = self.sessions()
         decided = materialise(admission.continue_sessions(good, held), "decisions")
@@ -166,9 +176,10 @@ class Engine:
         new = accepted.join(held.select("client"), "client", "left_anti").groupBy("client").agg(F.min("pos").alias("first_pos"))
         refused = new.join(new.orderBy("first_pos").limit(room).select("client"), "client", "left_anti").select("client", F.lit(True).alias("refused"))
         decided = decided.join(refused, "client", "left").withColumn("decision", F.when(F.col("refused"), F.lit("RESOURCE_EXHAUSTED")).otherwise(F.col("decision"))).drop("refused")
+        trace.span("admit")
         live = self.kv()
         accepted = decided.where("decision = 'EXECUTE'")
-        seq = layout.global_sequence(accepted.select("pos"), "pos").select("pos", (F.col("global_seq") + self.applied).alias("global_seq"))
+        seq = global_sequence(accepted.select("pos"), "pos").select("pos", (F.col("global_seq") + self.applied).alias("global_seq"))
         commands = accepted.join(seq, "pos").select("global_seq", "client", "request_seq", "kind", "key", "value", "digest", "pos")
         # keys are bounded too, checked for the batch as a whole: it is refused before anything is written
         added = commands.where(F.col("kind") == PUT).select("key").distinct().join(live.select("key"), "key", "left_anti").count()
@@ -181,9 +192,11 @@ class Engine:
         ran.select("global_seq", "client", "request_seq", "kind", "key", "value", "existed", "digest").write.mode("overwrite").parquet(path)
         written = self.spark.read.parquet(path)
         n = written.count()
+        trace.span("append", n)
         if n:
             batch = {"name": name, "start": self.applied + 1, "end": self.applied + n}
             self._publish({**self.manifest, "batches": [*self.manifest["batches"], batch], "next": self.applied + n + 1})
+        trace.span("sync")
         # a duplicate's result is that of the accepted request it repeats
         first = self.sessions_by_request(written, held)
         out = decided.select("pos", "client", "request_seq", "decision").join(first, ["client", "request_seq"], "left")
@@ -195,6 +208,7 @@ class Engine:
         told = results.agg(F.count_if("duplicate").alias("d"), F.count_if(F.col("code") != "OK").alias("r")).first()
         for counter, n in (("puts", by_kind.get(1, 0)), ("deletes", by_kind.get(2, 0)), ("dup_hits", told["d"]), ("rejections", told["r"])):
             self.counters[counter] += n
+        trace.span("respond")
         return results
 
     @staticmethod
@@ -215,11 +229,37 @@ class Engine:
     def delete(self, client: int, request: int, key: str) -> dict:
         return self._one(client, request, model.DELETE, key, None)
 
+    # -- a bounded queue in front of apply -----------------------------------
+
+    def submit(self, client: int, request: int, kind: int, key: str, value: str | None) -> int:
+        """Queue a request for the next ``flush``; its ticket is its ``pos`` there.  A full queue refuses."""
+        self._ready()
+        if len(self.queue) >= self.settings.queue_capacity:
+            self.counters["rejections"] += 1
+            raise ChangelogError("RESOURCE_EXHAUSTED", "the queue is full")
+        self.tickets += 1
+        self.queue.append((self.tickets, client, request, kind, key, value))
+        return self.tickets
+
+    def cancel(self, ticket: int) -> str:
+        """CANCELED: it will not run.  CANCELED_QUEUED: it has left the queue, and may have run."""
+        before = len(self.queue)
+        self.queue = [r for r in self.queue if r[0] != ticket]
+        return "CANCELED" if len(self.queue) < before else "CANCELED_QUEUED"
+
+    def flush(self) -> DataFrame:
+        """Apply what is queued as one batch."""
+        rows, self.queue = self.queue, []
+        return self.apply(self.spark.createDataFrame(rows, model.DELIVERY_SCHEMA))
+
     def get(self, key: str) -> tuple[str | None, bool, int]:
         """(value, found, the sequence that was read)."""
         self._ready()
         self.counters["gets"] += 1
+        trace = Recorder("get", self.on_trace)
         r = self.kv().where(F.col("key") == key).first()
+        trace.span("read")
+        trace.finish(self.applied)
         return (r["value"], True, self.applied) if r else (None, False, self.applied)
 
     # -- upkeep --------------------------------------------------------------
@@ -233,22 +273,29 @@ class Engine:
         if any(x["seq"] == at for x in self.manifest["snapshots"]):
             return f"snapshot-{at:020d}"
         self.emit("snapshot.start", sequence=at)
+        trace = Recorder("snapshot", self.on_trace)
         name = f"snapshot-{at:020d}"
         root = os.path.join(self.dir, "snapshots", name)
         kv, sessions = self.kv(), self.sessions()
         try:
             kv.write.mode("overwrite").parquet(os.path.join(root, "kv"))
             sessions.write.mode("overwrite").parquet(os.path.join(root, "sessions"))
+            trace.span("snapshot_write")
             for part, rows in (("kv", kv), ("sessions", sessions)):
                 total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
                 if total(self.spark.read.schema(rows.schema).parquet(os.path.join(root, part))) != total(rows):
                     raise ChangelogError("CORRUPTION", "a snapshot did not read back as written")
-        except Exception:
+            trace.span("snapshot_validate")
+        except Exception as e:
             self.emit("snapshot.failed", sequence=at)
+            trace.abandon(model.code_of(e))
             raise  # nothing was published: go on serving
         self._publish({**self.manifest, "snapshots": [*self.manifest["snapshots"], {"name": name, "seq": at}]})
         self.emit("snapshot.published", sequence=at)
+        trace.span("snapshot_rename")
         self.compact()
+        trace.span("compaction")
+        trace.finish(at)
         return name
 
     def compact(self) -> list[str]:

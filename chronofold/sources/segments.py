@@ -7,8 +7,10 @@ bounded by their target size, and a snapshot file by the key limit.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronofold.cluster import filesystem, materialise, shared_dir, ship
 from chronofold.functions import codec
@@ -54,46 +56,87 @@ def write_segments(assigned: DataFrame, folder: str, spec: codec.FormatSpec = co
     return materialise(rows.mapInArrow(run, "segment long, name string"), "segments")
 
 
-def read_frames(spark: SparkSession, folder: str, settings: StorageSettings | None = None, spec: codec.FormatSpec = codec.DEFAULT) -> DataFrame:
-    """The header (without ``seq``) and every frame of each segment file of a folder; a damaged one is the last and has ``error``."""
-    most = (settings or StorageSettings()).checked().max_frame_payload
-    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "wal-*").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("segment"), "content")
-
-    def frames(name: str, data: bytes):
-        row = lambda **x: {"segment": name, "length": len(data), "incomplete": False} | x
+def frames_of(name: str, data: bytes, most: int, spec: codec.FormatSpec = codec.DEFAULT):
+    """A row for the header (without ``seq``) and for every frame of a segment file; a damaged one has ``error`` and is the last."""
+    row = lambda **x: {"segment": name, "length": len(data), "incomplete": False} | x
+    try:
+        codec.decode_segment_header(data, spec)
+    except ChangelogError as e:
+        yield row(offset=0, size=0, error=e.detail)
+        return
+    at, view = codec.model.SEGMENT_HEADER_BYTES, memoryview(data)
+    yield row(offset=0, size=at)
+    while at < len(data):
         try:
-            codec.decode_segment_header(data, spec)
+            seq, payload, size = codec.decode_frame(view[at:], most, spec)
+        except codec.Incomplete:
+            yield row(offset=at, size=0, error="frame: incomplete", incomplete=True)
+            return
         except ChangelogError as e:
-            yield row(offset=0, size=0, error=e.detail)
+            yield row(offset=at, size=getattr(e, "size", 0), error=e.detail)
             return
-        at, view = codec.model.SEGMENT_HEADER_BYTES, memoryview(data)
-        yield row(offset=0, size=at)
-        while at < len(data):
-            try:
-                seq, payload, size = codec.decode_frame(view[at:], most, spec)
-            except codec.Incomplete:
-                yield row(offset=at, size=0, error="frame: incomplete", incomplete=True)
-                return
-            except ChangelogError as e:
-                yield row(offset=at, size=getattr(e, "size", 0), error=e.detail)
-                return
-            n = int.from_bytes(payload[26:30], "little")
-            value = payload[34 + n :].decode() if payload[1] == PUT else None
-            yield row(offset=at, size=size, seq=seq, kind=payload[1], client=int.from_bytes(payload[2:10], "little"), request_seq=int.from_bytes(payload[18:26], "little"), key=payload[30 : 30 + n].decode(), value=value)
-            at += size
+        n = int.from_bytes(payload[26:30], "little")
+        value = payload[34 + n :].decode() if payload[1] == PUT else None
+        yield row(offset=at, size=size, seq=seq, kind=payload[1], client=int.from_bytes(payload[2:10], "little"), request_seq=int.from_bytes(payload[18:26], "little"), key=payload[30 : 30 + n].decode(), value=value)
+        at += size
 
+
+def read_frames(spark: SparkSession, folder: str, settings: StorageSettings | None = None, spec: codec.FormatSpec = codec.DEFAULT) -> DataFrame:
+    """The rows of ``frames_of`` for all segment files of a folder."""
+    most = (settings or StorageSettings()).checked().max_frame_payload
+    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "wal-*").load(folder)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("segment"), "content")
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in FRAME_SCHEMA.split(", "))])
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(frames(r["segment"], r["content"])), schema=schema)
+                yield pa.RecordBatch.from_pylist(list(frames_of(r["segment"], r["content"], most, spec)), schema=schema)
 
     return files.mapInArrow(run, FRAME_SCHEMA)
 
 
+class SegmentSource(DataSource):
+    """``spark.dataSource.register(SegmentSource)``, then ``spark.read.format("changelog_segments").load(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "changelog_segments"
+
+    def schema(self) -> str:
+        return FRAME_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return SegmentReader(self.options["path"])
+
+
+class SegmentReader(DataSourceReader):
+    """One partition per segment file."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def partitions(self) -> list[InputPartition]:
+        fs, at = filesystem(self.folder)
+        found = fs.get_file_info(pafs.FileSelector(at))
+        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.base_name.startswith("wal-")]
+
+    def read(self, partition: InputPartition):
+        fs, _ = filesystem(self.folder)
+        with fs.open_input_file(partition.value) as f:
+            data = f.read()
+        names = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
+        for r in frames_of(partition.value.rpartition("/")[2], data, StorageSettings().checked().max_frame_payload):
+            yield tuple(r.get(n) for n in names)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """name, is_dir and bytes of a data directory's files, for ``layout.classify_files``."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(False).alias("is_dir"), F.col("length").alias("bytes"))
+
+
 def recover(spark: SparkSession, folder: str, snapshot_seq: int = 0) -> tuple[DataFrame, int]:
     """Frames after ``snapshot_seq`` and bytes of torn tail left out; raises CORRUPTION where the log cannot be proven.
 

@@ -4,7 +4,8 @@ import random
 
 import pytest
 from chronofold.engine import Engine
-from chronofold.model import DELIVERY_SCHEMA, ChangelogError
+from chronofold.model import DELIVERY_SCHEMA, ChangelogError, StorageSettings
+from chronofold.trace import TRACE_SCHEMA
 
 
 def code(f, *a):
@@ -68,3 +69,27 @@ def test_lifecycle_and_damage(spark, tmp_path):
     with open(manifest, "w") as f:
         json.dump(held, f)
     assert code(Engine, spark, folder) == "CORRUPTION"
+
+
+def test_queue_traces_and_faults(spark, tmp_path, monkeypatch):
+    traces, folder = [], str(tmp_path / "db")
+    engine = Engine(spark, folder, StorageSettings(queue_capacity=2, max_keys=2), on_trace=traces.append)
+    first, second = engine.submit(1, 1, 1, "secret-key", "secret-value"), engine.submit(2, 1, 1, "b", "")
+    assert code(engine.submit, 3, 1, 1, "c", "") == "RESOURCE_EXHAUSTED"
+    assert engine.cancel(second) == "CANCELED" and engine.cancel(second) == "CANCELED_QUEUED"
+    assert [r["pos"] for r in engine.flush().collect()] == [first]
+    (trace,) = traces
+    assert [n for n, _, _ in trace.spans] == ["validate", "admit", "append", "sync", "respond"]
+    assert sum(d for _, d, _ in trace.spans) <= trace.total_ns and "secret" not in repr(trace)
+    assert spark.createDataFrame([t.row() for t in traces], TRACE_SCHEMA).count() == 1
+    # a batch that would hold too many keys is refused whole
+    batch = [(1, 1, 2, 1, "x", ""), (2, 1, 3, 1, "y", "")]
+    assert code(engine.apply, spark.createDataFrame(batch, DELIVERY_SCHEMA)) == "RESOURCE_EXHAUSTED"
+    # a failure on the way to the manifest leaves the outcome unknown and the engine faulted; reopening tells
+    monkeypatch.setattr(Engine, "_publish", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    assert code(engine.put, 1, 2, "x", "1") == "STORAGE" and code(engine.get, "x") == "FAULTED"
+    monkeypatch.undo()
+    engine.close()
+    engine = Engine(spark, folder)
+    assert engine.get("x")[1] is False and engine.put(1, 2, "x", "1")["applied_seq"] == 2
+    engine.close()

@@ -37,6 +37,13 @@ def test_all_frames(spark, folder):
     assert seqs(recover(spark, folder, 2)[0]) == [3, 4, 5, 6]
 
 
+def test_the_data_source_gives_the_same_rows(spark, folder):
+    spark.dataSource.register(segments.SegmentSource)
+    rows = spark.read.format("changelog_segments").load(folder)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, segments.read_frames(spark, folder).collect()))
+    assert {r["name"] for r in segments.list_files(spark, folder).collect()} == {SEALED, ACTIVE}
+
+
 @pytest.mark.parametrize("cut", [1, 17, 31])
 def test_torn_tail_goes(spark, folder, cut):
     torn = b"".join(frames(4, 6))
