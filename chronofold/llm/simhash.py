@@ -296,7 +296,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         # large star: each neighbour above u is joined to the smallest node around u
         around = both(edges)
-        lowest = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table of its own, so that the join has plain shuffles on both sides and a hot u can be split
+        lowest = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
         large = around.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each neighbour at or below u, and u, to the smallest of them
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -321,8 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED, m
     nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     roots = components(nodes, linked)
     # smallest doc_id over each component of linked fingerprints
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "inner").select("fp", "component", "first_doc")
-    lowest = member.groupBy("component").agg(F.min("first_doc").alias("lowest"))
+    member = materialise(distinct.join(roots, distinct["fp"] == roots["node"], "inner").select("fp", "component", "first_doc"), "class-members")
+    lowest = materialise(member.groupBy("component").agg(F.min("first_doc").alias("lowest")), "class-representatives")
     of_linked = member.join(lowest, "component").select(F.col("fp").alias("l_fp"), "lowest")
     of_fp = distinct.join(of_linked, distinct["fp"] == of_linked["l_fp"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("lowest", "first_doc").alias("component_id"))
     of_fp = materialise(of_fp, "fingerprint-classes")  # both sides of the next join are then plain shuffles, whose hot keys can be split
