@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _made: list[str] = []
+#: Bytes of one Arrow batch, where the session sets none: bounds a Python worker's memory, however long the texts.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,6 +24,8 @@ def ship(spark: SparkSession) -> SparkSession:
         archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "chronofold"), "zip", os.path.dirname(root), os.path.basename(root))
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
+        if not context.getConf().contains(ARROW_BATCH[0]):
+            spark.conf.set(*ARROW_BATCH)
     return spark
 
 
