@@ -27,7 +27,7 @@ def client_bytes(client: int) -> bytes:
 
 
 def write_segments(assigned: DataFrame, folder: str, spec: codec.FormatSpec = codec.DEFAULT) -> DataFrame:
-    """One file per segment from commands with ``segment``; returns (segment, name, bytes)."""
+    """One file per segment from commands with ``segment`` (a table, as it is read three times); returns (segment, name)."""
     ends = assigned.groupBy("segment").agg(F.min("global_seq").alias("start_seq"), F.max("global_seq").alias("end_seq"))
     newest = assigned.agg(F.max("segment").alias("newest"))
     named = ends.join(F.broadcast(newest)).select("segment", codec.segment_name(F.col("start_seq"), F.when(F.col("segment") < F.col("newest"), F.col("end_seq"))).alias("name"), "start_seq")
@@ -142,7 +142,8 @@ def recover(spark: SparkSession, folder: str, snapshot_seq: int = 0) -> tuple[Da
 
     Nothing is cut from a file: damaged rows are left out.
     """
-    frames = materialise(read_frames(spark, folder), "frames")
+    # segments are read whole, many to a task: the frames' table gets a file for each core, not for each segment
+    frames = materialise(read_frames(spark, folder).coalesce(spark.sparkContext.defaultParallelism), "frames")
     names = frames.select("segment").distinct().select("segment", codec.parse_segment_name(F.col("segment")).alias("p")).select("segment", "p.*")
     if bad := names.where("error IS NOT NULL").first():
         raise ChangelogError("CORRUPTION", f"file name: {bad['error']}")
@@ -219,7 +220,7 @@ def _wal_roundtrip(s, d):
     commands = cmd_log(s, d)
     assigned = commands.join(assign_segments(frame_sizes(commands)).select("global_seq", "segment"), "global_seq")
     folder = shared_dir(s, "wal")
-    write_segments(assigned, folder)
+    write_segments(materialise(assigned, "assigned"), folder)
     frames, _ = recover(s, folder)
     return frames.select("seq", "kind", "client", "request_seq", "key", "value")
 
