@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.cluster import filesystem, materialise, shared_dir, ship
 
-__all__ = ["bounded_sample", "filesystem", "materialise", "shared_dir", "ship", "table", "text_blocks"]
+__all__ = ["bounded_sample", "filesystem", "materialise", "released", "shared_dir", "ship", "table", "text_blocks"]
 
 #: Characters of text handled at once by the block-wise Python operators.
 BLOCK_CHARS = 2_000_000
@@ -27,6 +29,17 @@ def text_blocks(texts: Iterable, limit: int = BLOCK_CHARS) -> Iterator[tuple[int
         yield start, i
 
 
+@contextlib.contextmanager
+def released(*caches):
+    """Empties the caches when a task ends: an idle Python worker keeps no more than its imports."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

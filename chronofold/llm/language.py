@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import bounded_sample, materialise, table, text_blocks
+from ._common import bounded_sample, materialise, released, table, text_blocks
 
 #: Labelled documents learned from, at most for each language, and languages at most (the most frequent).
 SAMPLE_PER_LANGUAGE = 150
@@ -181,6 +181,10 @@ class Field:
         score *= np.minimum(1, LONGEST_WORD / np.fromiter(map(len, words), np.int64, len(words)))[:, None]
         return np.exp(score - score.max(axis=1, keepdims=True))
 
+    def clear(self) -> None:
+        """Forget cached words."""
+        self.rows = None
+
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of posteriors by label, and number of words with a letter, for each text."""
         sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
@@ -261,22 +265,23 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         field = held.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if field.labels:
-                sums, counts = field.predict(texts)
-            else:
-                sums, counts = np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)
-            out = []
-            for total, n in zip(sums, counts.tolist(), strict=True):
-                if not n:
-                    out.append((UNDEFINED, 0.0, []))
-                    continue
-                share = total / total.sum()
-                best = int(np.argmax(share))
-                out.append((field.labels[best], min(1.0, float(share[best])), list(zip(field.labels, share.tolist(), strict=True))))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], kinds)], names=["doc_id", "lang_pred", "score", "shares"])
+        with released(field):
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                if field.labels:
+                    sums, counts = field.predict(texts)
+                else:
+                    sums, counts = np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)
+                out = []
+                for total, n in zip(sums, counts.tolist(), strict=True):
+                    if not n:
+                        out.append((UNDEFINED, 0.0, []))
+                        continue
+                    share = total / total.sum()
+                    best = int(np.argmax(share))
+                    out.append((field.labels[best], min(1.0, float(share[best])), list(zip(field.labels, share.tolist(), strict=True))))
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], kinds)], names=["doc_id", "lang_pred", "score", "shares"])
 
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string, double>")
 
@@ -287,12 +292,13 @@ def keep_known(docs: DataFrame, field: Field, min_score: float = MIN_SCORE) -> D
 
     def run(batches):
         field = held.value
-        for batch in batches:
-            if not field.labels or not batch.num_rows:
-                continue
-            sums, counts = field.predict([t or "" for t in batch.column("text").to_pylist()])
-            known = (counts > 0) & (sums.max(axis=1) >= min_score * sums.sum(axis=1))
-            yield batch.filter(pa.array(known))
+        with released(field):
+            for batch in batches:
+                if not field.labels or not batch.num_rows:
+                    continue
+                sums, counts = field.predict([t or "" for t in batch.column("text").to_pylist()])
+                known = (counts > 0) & (sums.max(axis=1) >= min_score * sums.sum(axis=1))
+                yield batch.filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)
 

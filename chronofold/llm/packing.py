@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, released, table
 from .pretokens import id_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,23 +89,27 @@ def encode_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
     end, width = int(end_id).to_bytes(4, "little"), 4 * window
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
     def run(batches):
         encoder = id_encoder(vocabulary)
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            held = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + end
-                for at in range(0, len(ids), width):
-                    piece = ids[at : at + width]
-                    row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-                held += len(ids)
-                if with_ids and held > 64_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                    out, held = [[] for _ in schema], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        with released(encoder.words, encoder.pre):
+            for batch in batches:
+                out: list[list] = [[] for _ in schema]
+                held = 0
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    ids = encoder.encode(text.as_py()) + end
+                    for at in range(0, len(ids), width):
+                        piece = ids[at : at + width]
+                        row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)
+                        for column, value in zip(out, row, strict=False):
+                            column.append(value)
+                    held += len(ids)
+                    if with_ids and held > 16_000_000:
+                        yield batch_of(out)
+                        out, held = [[] for _ in schema], 0
+                yield batch_of(out)
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return rows.mapInArrow(run, ddl).withColumn("piece_row", F.monotonically_increasing_id())

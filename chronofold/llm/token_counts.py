@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import table
+from ._common import released, table
 from .pretokens import piece_counter
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -35,10 +35,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
     def run(batches):
         counter = piece_counter(vocabulary)
-        for batch in batches:
-            text = batch.column("text")
-            counts = [counter.count(x.as_py()) for x in text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        with released(counter.words, counter.parts):
+            for batch in batches:
+                text = batch.column("text")
+                counts = [counter.count(x.as_py()) for x in text]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 

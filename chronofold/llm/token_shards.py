@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import filesystem, materialise, shared_dir, table
+from ._common import filesystem, materialise, released, shared_dir, table
 from .pretokens import id_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -209,16 +209,16 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        task, writer, encoder = TaskContext.get(), None, None
+        task, writer, encoder = TaskContext.get(), None, id_encoder(vocabulary)
         uri = f"{folder}/shard-{task.partitionId():05d}-{task.taskAttemptId()}.sst"
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if writer is None:
-                    encoder = id_encoder(vocabulary)
-                    fs, path = filesystem(uri)
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    writer = ShardWriter(fs.open_output_stream(path, compression=None), 2 if encoder.library.get_vocab_size() <= 1 << 16 else 4)
-                writer.add(key_of(doc_id), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
+        with released(encoder.words, encoder.pre):
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    if writer is None:
+                        fs, path = filesystem(uri)
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        writer = ShardWriter(fs.open_output_stream(path, compression=None), 2 if encoder.library.get_vocab_size() <= 1 << 16 else 4)
+                    writer.add(key_of(doc_id), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
         if writer is not None:
             size = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": uri, "documents": len(writer.keys), "ids": writer.ids, "bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))

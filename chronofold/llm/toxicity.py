@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import bounded_sample, materialise, table
+from ._common import bounded_sample, materialise, released, table
 
 #: Labelled texts that the index is fitted on, at most for each label, by the order of a hash.
 SAMPLE_PER_LABEL = 2500
@@ -217,13 +217,14 @@ def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids
 
     def run(batches):
         model = held.value
-        for batch in batches:
-            scores, why = [], []
-            for text in batch.column("text"):
-                score, near = model.score(text.as_py())
-                scores.append(score)
-                why.append([{"doc_id": int(ids[i]), "cosine": c} for i, c in near[:3]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(why, evidence)], names=["doc_id", "score", "evidence"])
+        with released(model.known):
+            for batch in batches:
+                scores, why = [], []
+                for text in batch.column("text"):
+                    score, near = model.score(text.as_py())
+                    scores.append(score)
+                    why.append([{"doc_id": int(ids[i]), "cosine": c} for i, c in near[:3]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(why, evidence)], names=["doc_id", "score", "evidence"])
 
     return rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
 
