@@ -44,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list:
-    """(doc_id, label, text) rows: at most ``per_label`` documents of each label, by the order of a hash.
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> tuple[list, dict]:
+    """(doc_id, label, text) rows, and the number of all rows by label: at most ``per_label`` documents of each label, by the order of a hash.
 
     ``labelled`` (doc_id, label; a table, as it is read twice) has few labels.
     Labels are counted first, so that a hash threshold leaves a few times
@@ -56,7 +56,7 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list
     span = 1 << 40
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return [], {}
     share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(span, span * (4 * per_label + 64) // n))))
     ranked = labelled.select("doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("h")).where(F.col("h") < F.element_at(share, F.col("label"))).distinct()
     by_hash = Window.partitionBy("label").orderBy("h", "doc_id")
@@ -64,4 +64,4 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> list
     picked = materialise(picked.select(F.col("doc_id").alias("s_id"), "label"), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.join(F.broadcast(picked), rows["doc_id"] == picked["s_id"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return sorted(texts.collect(), key=lambda r: (r["doc_id"], str(r["label"])))
+    return sorted(texts.collect(), key=lambda r: (r["doc_id"], str(r["label"]))), counts

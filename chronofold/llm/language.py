@@ -253,7 +253,7 @@ def learn(docs: DataFrame, may_learn, per_language: int = SAMPLE_PER_LANGUAGE, c
     field = Field(sorted(known))
     if not known:
         return field
-    found = bounded_sample(docs, rows.where(F.col("label").isin(known)), per_language)
+    found, _ = bounded_sample(docs, rows.where(F.col("label").isin(known)), per_language)
     return field.fit([r["text"] for r in found], [r["label"] for r in found])
 
 

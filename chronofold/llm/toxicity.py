@@ -33,7 +33,7 @@ from chronofold.cluster import ship
 from ._common import bounded_sample, materialise, released, table
 
 #: Labelled texts that the index is fitted on, at most for each label, by the order of a hash.
-SAMPLE_PER_LABEL = 2500
+SAMPLE_PER_LABEL = 4000
 #: Characters of a labelled text, at most, for it to be in that sample: bounds the driver's memory.
 SAMPLE_CHARS = 20_000
 #: Characters of a word that its leading parts have.
@@ -56,44 +56,48 @@ def terms_of(word: str) -> list[str]:
 class Model:
     """Vocabulary, entries and block-max postings, as arrays alone."""
 
-    def __init__(self, texts: list[str], labels: list[int], k: int = NEIGHBOURS):
+    def __init__(self, texts: list[str], labels: list[int], k: int = NEIGHBOURS, label_weights: dict[int, float] | None = None):
+        """``label_weights``: how many labelled texts each sampled one stands for, so that votes and scores are those of all."""
         self.k, self.known = k, {}
-        counts = [Counter(t for w in WORD.findall(x.lower()) for t in terms_of(w)) for x in texts]
+        weight_of = label_weights or {0: 1.0, 1: 1.0}
         y = np.asarray(labels, dtype=np.int64)
-        kept = self._vocabulary(counts, y)
+        # two passes over the texts: only counts of terms, then only bags of kept terms, are held
+        terms_in = lambda x: Counter(t for w in WORD.findall(x.lower()) for t in terms_of(w))
+        kept = self._vocabulary(map(terms_in, texts), y)
         self.terms = {t: i for i, t in enumerate(kept)}
         df = np.zeros(len(kept))
         bags = []
-        for c in counts:
-            bag = tuple(sorted((self.terms[t], n) for t, n in c.items() if t in self.terms))
+        for x in texts:
+            bag = tuple(sorted((self.terms[t], n) for t, n in terms_in(x).items() if t in self.terms))
             bags.append(bag)
             for t, _ in bag:
                 df[t] += 1
         self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
         # equal vectors are one entry: (texts, toxic texts)
-        votes: dict[tuple, list[int]] = {}
+        votes: dict[tuple, list[float]] = {}
         first: dict[tuple, int] = {}
         for i, (bag, label) in enumerate(zip(bags, labels, strict=True)):
-            v = votes.setdefault(bag, [0, 0])
-            v[0] += 1
-            v[1] += label
+            v = votes.setdefault(bag, [0.0, 0.0])
+            v[0] += weight_of[label]
+            v[1] += weight_of[label] * label
             first.setdefault(bag, i)
-        none = votes.pop((), [0, 0])
+        none = votes.pop((), [0.0, 0.0])
         entries = sorted(votes, key=lambda b: (b[0], len(b), first[b]))  # those with like terms share blocks
         self.example = np.array([first[b] for b in entries], np.int64)
         self.votes = np.array([votes[b] for b in entries], np.float64).reshape(-1, 2)
         self._postings([self.weights(Counter(dict(b))) for b in entries])
-        prior = (y.mean() if len(y) else 0.0, float(none[1] / none[0]) if none[0] else 0.0)
-        self.prior, self.none_score = prior
-        self._calibrate(entries, votes)
+        everyone = np.array([weight_of[x] for x in labels])
+        self.prior = float((everyone * y).sum() / everyone.sum()) if len(y) else 0.0
+        self.none_score = float(none[1] / none[0]) if none[0] else 0.0
+        self._calibrate(entries)
 
     @staticmethod
-    def _vocabulary(counts: list[Counter], y: np.ndarray) -> list[str]:
+    def _vocabulary(bags, y: np.ndarray) -> list[str]:
         present, toxic, n, pos = Counter(), Counter(), len(y), int(y.sum())
-        for c, label in zip(counts, y.tolist(), strict=True):
-            present.update(c.keys())
+        for bag, label in zip(bags, y.tolist(), strict=True):
+            present.update(bag.keys())
             if label:
-                toxic.update(c.keys())
+                toxic.update(bag.keys())
         scored = []
         for t, m in present.items():
             a = toxic[t]
@@ -132,21 +136,26 @@ class Model:
         at, w = self.weights(bag)
         bound = w @ self.block_max[at] if len(at) else np.zeros(0)
         best_c, best_e = np.zeros(0), np.zeros(0, np.int64)
-        base = at * max(1, self.blocks)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_c) >= self.k and bound[b] < best_c[-1] - 1e-12):
+        base, order, done, step = at * max(1, self.blocks), np.argsort(-bound, kind="stable"), 0, 4
+        while done < len(order):
+            # the next blocks by bound, scored together; those that cannot hold a nearer entry are left out
+            some = order[done : done + step]
+            least = best_c[-1] - 1e-12 if len(best_c) >= self.k else 0.0
+            some = some[(bound[some] > 0) & (bound[some] >= least)]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            low, high = self.cell_from[base + b], self.cell_from[base + b + 1]
-            for i in np.flatnonzero(high > low).tolist():
-                own = slice(low[i], high[i])
-                scores[self.p_entry[own] - b * BLOCK] += w[i] * self.p_weight[own]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                scores[skip - b * BLOCK] = 0
+            done, step = done + step, min(2 * step, 64)
+            cells = (base[:, None] + some).ravel()
+            low = self.cell_from[cells]
+            sizes = self.cell_from[cells + 1] - low
+            places = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            scores = np.bincount(self.p_entry[places], np.repeat(np.repeat(w, len(some)), sizes) * self.p_weight[places], len(self.votes))
+            if skip >= 0:
+                scores[skip] = 0
             found = np.flatnonzero(scores > 0)
-            c, e = np.concatenate([best_c, scores[found]]), np.concatenate([best_e, found + b * BLOCK])
-            order = np.lexsort((e, -c))[: self.k]
-            best_c, best_e = c[order], e[order]
+            c, e = np.concatenate([best_c, scores[found]]), np.concatenate([best_e, found])
+            keep = np.lexsort((e, -c))[: self.k]
+            best_c, best_e = c[keep], e[keep]
         return best_c, best_e
 
     def vote(self, cosine: np.ndarray, entry: np.ndarray) -> float:
@@ -157,7 +166,7 @@ class Model:
         w = cosine**4  # nearer examples weigh far more
         return float((w * votes[:, 1]).sum() / (w * votes[:, 0]).sum())
 
-    def _calibrate(self, entries: list, votes: dict) -> None:
+    def _calibrate(self, entries: list) -> None:
         """Isotonic steps from raw votes to shares, on votes that each entry gets from the others."""
         raw = [self.vote(*self.nearest(Counter(dict(b)), skip=i)) for i, b in enumerate(entries)]
         order = np.argsort(raw, kind="stable")
@@ -198,18 +207,20 @@ class Model:
         return float(self.shares[at]), list(zip(self.example[entry].tolist(), cosine.tolist(), strict=True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], list[int]]:
-    """Texts, labels and doc_ids of a bounded, repeatable sample of labelled documents."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn, per_label: int = SAMPLE_PER_LABEL, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], list[int], dict[int, float]]:
+    """Texts, labels and doc_ids of a bounded, repeatable sample of labelled documents, and how many each one stands for by label."""
     own = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id IS NOT NULL AND y IN (0, 1)").groupBy("l_id").agg(F.max("y").alias("label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(may_learn(F.col("doc_id")) & F.length("text").between(1, chars)).select("doc_id")
     labelled = materialise(rows.join(own, rows["doc_id"] == own["l_id"]).select("doc_id", "label"), "labelled")
-    found = bounded_sample(docs, labelled, per_label)
-    return [r["text"] for r in found], [r["label"] for r in found], [r["doc_id"] for r in found]
+    found, counts = bounded_sample(docs, labelled, per_label)
+    labels_found = [r["label"] for r in found]
+    stands_for = {y: n / max(1, labels_found.count(y)) for y, n in counts.items()}
+    return [r["text"] for r in found], labels_found, [r["doc_id"] for r in found], stands_for
 
 
-def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids: list[int], k: int = NEIGHBOURS) -> DataFrame:
+def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids: list[int], label_weights: dict[int, float] | None = None, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score and evidence (nearest examples' doc_ids with cosines) of each row of ``docs``."""
-    model = Model(texts, labels, k)
+    model = Model(texts, labels, k, label_weights)
     held = ship(docs.sparkSession).sparkContext.broadcast(model)  # bounded by the sample
     ids = np.asarray(doc_ids, np.int64)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

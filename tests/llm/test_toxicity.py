@@ -63,22 +63,23 @@ def test_score_is_calibrated_and_holds_out():
 
 def test_documents(spark):
     docs, labels = documents(spark, SF), table(spark, SF, "labels")
-    texts, ys, ids = toxicity.labelled_sample(docs, labels, lambda c: ~toxicity.held_out(c))
+    texts, ys, ids, weights = toxicity.labelled_sample(docs, labels, lambda c: ~toxicity.held_out(c))
     assert len(ids) == len(set(ids)) and all(spark.range(1).select(toxicity.held_out(F.lit(i).cast("long"))).first()[0] is False for i in ids[:3])
-    rows = toxicity.score_toxicity(docs, texts, ys, ids).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    rows = toxicity.score_toxicity(docs, texts, ys, ids, weights).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     hits = Counter((r["toxic"], r["score"] >= 0.5) for r in rows)
     assert hits[0, True] <= 1 and hits[1, True] >= hits[1, False]
     # a bound on the sample, by label
     few = toxicity.labelled_sample(docs, labels, lambda c: ~toxicity.held_out(c), per_label=10)
     assert Counter(few[1]) == {0: 10, 1: 10}
+    assert all(abs(10 * few[3][y] - ys.count(y)) < 1e-9 for y in (0, 1))
 
 
 def test_edge_rows(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, None), (None, 1, 1), (7, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
-    texts, ys, ids = toxicity.labelled_sample(edge, labels, lambda c: F.lit(True))
+    texts, ys, ids, weights = toxicity.labelled_sample(edge, labels, lambda c: F.lit(True))
     assert list(zip(ids, ys)) == [(1, 1)]
-    rows = toxicity.score_toxicity(edge, texts, ys, ids).collect()
+    rows = toxicity.score_toxicity(edge, texts, ys, ids, weights).collect()
     assert len(rows) == edge.count() and all(0 <= r["score"] <= 1 for r in rows)
     none = toxicity.labelled_sample(edge, labels.limit(0), lambda c: F.lit(True))
     assert {r["score"] for r in toxicity.score_toxicity(edge, *none).collect()} == {0.0}
-    assert toxicity.score_toxicity(empty, texts, ys, ids).collect() == []
+    assert toxicity.score_toxicity(empty, texts, ys, ids, weights).collect() == []
