@@ -11,6 +11,14 @@ words are spliced across languages, so that the transitions learn how rarely a
 text switches.  Prediction covers every word of every text, in consecutive
 windows of ``WINDOW`` words that are worked out together, window by window.
 
+Posteriors only compare the languages learned.  Whether a text is in any of them
+is judged by familiarity: the share of a word's features that the word's own
+language showed at least twice in the sample, averaged over the text.  A language
+expects what its sampled documents reach when half of them judge the other half;
+a text with less than ``FAMILIAR`` of that is in none.  The number of languages
+plays no part.  A language with under ``CALIBRATION_DOCS`` sampled documents
+expects nothing: it is too little known to turn texts away.
+
 Defined results: ``und`` with score 0 where the text is null or has no letter,
 or where nothing could be learned; ties go to the label that sorts first; null
 or repeated doc_ids are labelled like any other; a row with null lang teaches
@@ -19,6 +27,7 @@ nothing; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -37,8 +46,10 @@ MAX_LANGUAGES = 64
 SAMPLE_CHARS = 4000
 WINDOW = 64
 UNDEFINED = "und"
-#: Least mean posterior of the best label: below it a text is in none of the known languages.
-MIN_SCORE = 0.25
+#: Share of a language's expected familiarity, at least, for a text to be in it.
+FAMILIAR = 0.5
+#: Sampled documents of a language, at least, for it to expect any.
+CALIBRATION_DOCS = 10
 #: Words held by a worker's cache of emission scores.
 CACHE_WORDS = 250_000
 LONGEST_WORD = 64
@@ -97,14 +108,20 @@ class Field:
         self.weights = np.zeros((0, len(labels)))
         self.start = np.zeros(len(labels))
         self.move = np.zeros((len(labels), len(labels)))
+        self.seen: dict[str, int] = {}  # feature -> row of ``seen_in``
+        self.seen_in = np.zeros((1, len(labels)), np.float32)  # 1 where a label showed it; the last row stays zero
+        self.expected = np.zeros(len(labels))
         self.rows: Rows | None = None
 
     def fit(self, texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.25, l2: float = 0.5, seed: int = 7) -> Field:
         rng = np.random.default_rng(seed)
         runs: dict[int, list[str]] = {i: [] for i in range(len(self.labels))}
+        taken: dict[int, list[list[str]]] = {i: [] for i in runs}
         for text, lang in zip(texts, langs, strict=True):
-            own = runs[self.labels.index(lang)]
-            own += [w for w in map(letters_of, text.split()) if w][: TRAIN_WORDS_PER_LANGUAGE - len(own)]
+            c = self.labels.index(lang)
+            taken[c].append([w for w in map(letters_of, text.split()) if w][: TRAIN_WORDS_PER_LANGUAGE - len(runs[c])])
+            runs[c] += taken[c][-1]
+        self._know(taken)
         words, tags = self._spliced(runs, rng)
         if not len(words):
             return self
@@ -148,6 +165,38 @@ class Field:
                 p += rate * g / np.sqrt(m)
         return self
 
+    def _know(self, taken: dict[int, list[list[str]]]) -> None:
+        """Features that each label showed at least twice, and the familiarity it expects of a text."""
+
+        def shown(docs: list[list[str]]) -> set[str]:
+            counts: Counter = Counter()
+            for w, n in Counter(chain.from_iterable(docs)).items():
+                for f in set(features(w)):
+                    counts[f] += n
+            return {f for f, n in counts.items() if n > 1}
+
+        by_label = {c: shown(docs) for c, docs in taken.items()}
+        self.seen = {f: i for i, f in enumerate(sorted(set().union(*by_label.values())))}
+        self.seen_in = np.zeros((len(self.seen) + 1, len(self.labels)), np.float32)
+        for c, found in by_label.items():
+            self.seen_in[[self.seen[f] for f in found], c] = 1
+            docs = [d for d in taken[c] if d]
+            if len(docs) < CALIBRATION_DOCS:
+                continue
+            reached = []
+            for judges, judged in ((docs[::2], docs[1::2]), (docs[1::2], docs[::2])):
+                own = shown(judges)
+                rate = {w: np.mean([f in own for f in features(w)]) for w in set(chain.from_iterable(judged))}
+                reached += [np.mean([rate[w] for w in d]) for d in judged]
+            self.expected[c] = np.mean(reached)
+
+    def rates(self, words: list[str]) -> np.ndarray:
+        """Share of each word's features that each label showed."""
+        get, none = self.seen.get, len(self.seen)
+        sizes = np.fromiter((len(w) + 7 for w in words), np.int64, len(words))
+        at = np.fromiter((get(f, none) for w in words for f in features(w)), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.seen_in[at], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+
     @staticmethod
     def _spliced(runs: dict[int, list[str]], rng) -> tuple[list[list[str]], list[np.ndarray]]:
         """Sequences of about 30 words; one in three goes on in another language midway."""
@@ -187,9 +236,18 @@ class Field:
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of posteriors by label, and number of words with a letter, for each text."""
-        sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
-        if self.rows is None:
-            self.rows = Rows(self)
+        return self._predict(texts, False)[:2]
+
+    def known(self, texts: list[str], familiar: float = FAMILIAR) -> np.ndarray:
+        """Whether each text has words in a learned language, with ``familiar`` of the expected familiarity at least."""
+        sums, counts, rates = self._predict(texts, True)
+        return (counts > 0) & (rates >= familiar * (sums @ self.expected))
+
+    def _predict(self, texts: list[str], rated: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``predict`` gives and, where ``rated``, the sum of words' familiarity in their languages."""
+        sums, counts, rates = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        if self.rows is None or rated and self.rows.rates is None:
+            self.rows = Rows(self, rated)
         for first, last in text_blocks(texts):
             rows = self.rows.fresh()
             chunks = [t.split() for t in texts[first:last]]
@@ -213,16 +271,19 @@ class Field:
                     at = np.minimum(begin[own] + steps, len(words) - 1)
                     found, _ = posteriors(rows.table[words[at]], lengths[own], np.exp(self.start), np.exp(self.move))
                     np.add.at(sums, of[own], found.sum(axis=0))
-        return sums, counts
+                    if rated:
+                        np.add.at(rates, of[own], np.einsum("tnc,tnc->n", found, rows.rates[words[at]]))
+        return sums, counts, rates
 
 
 class Rows(dict):
-    """chunk -> row of a table of emissions; row 0 stands for chunks with no letter."""
+    """chunk -> row of a table of emissions, and of one of rates where ``rated``; row 0 stands for chunks with no letter."""
 
-    def __init__(self, field: Field):
+    def __init__(self, field: Field, rated: bool = False):
         super().__init__()
         self.field, self.used = field, 1
         self.table = np.ones((CACHE_WORDS, len(field.labels)))
+        self.rates = np.zeros(self.table.shape, np.float32) if rated else None
 
     def fresh(self) -> Rows:
         if len(self) > CACHE_WORDS:
@@ -239,8 +300,13 @@ class Rows(dict):
             if not part:
                 continue
             if self.used + len(part) > len(self.table):
-                self.table = np.concatenate([self.table, np.ones((max(len(self.table) // 2, len(part)), self.table.shape[1]))])
+                more = (max(len(self.table) // 2, len(part)), self.table.shape[1])
+                self.table = np.concatenate([self.table, np.ones(more)])
+                if self.rates is not None:
+                    self.rates = np.concatenate([self.rates, np.zeros(more, np.float32)])
             self.table[self.used : self.used + len(part)] = self.field.emissions([w for _, w in part])
+            if self.rates is not None:
+                self.rates[self.used : self.used + len(part)] = self.field.rates([w for _, w in part])
             self.update((c, self.used + i) for i, (c, _) in enumerate(part))
             self.used += len(part)
 
@@ -286,8 +352,8 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string, double>")
 
 
-def keep_known(docs: DataFrame, field: Field, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is one of the field's, with ``min_score`` at least."""
+def keep_known(docs: DataFrame, field: Field, familiar: float = FAMILIAR) -> DataFrame:
+    """The rows of ``docs`` whose language is one of the field's, with ``familiar`` of what it expects at least."""
     held = ship(docs.sparkSession).sparkContext.broadcast(field)  # bounded by the sample
 
     def run(batches):
@@ -296,8 +362,7 @@ def keep_known(docs: DataFrame, field: Field, min_score: float = MIN_SCORE) -> D
             for batch in batches:
                 if not field.labels or not batch.num_rows:
                     continue
-                sums, counts = field.predict([t or "" for t in batch.column("text").to_pylist()])
-                known = (counts > 0) & (sums.max(axis=1) >= min_score * sums.sum(axis=1))
+                known = field.known([t or "" for t in batch.column("text").to_pylist()], familiar)
                 yield batch.filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,8 @@ Each stage works on all that the one before kept; its output is written as
 Parquet and reread as the next one's ``docs``.  All but the last keep the columns
 of ``documents``.
 
-1. language: documents in none of the languages learned from ``lang`` go;
+1. language: documents in none of the languages learned from ``lang`` go, whatever
+   the number of languages;
 2. quality: documents that the quality rules reject go;
 3. near duplicates: of each SimHash class the smallest doc_id stays;
 4. mixing: sources are repeated to their temperature weights, none dropped;
