@@ -44,14 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> tuple[list, dict]:
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, cut=lambda text: text) -> tuple[list, dict]:
     """(doc_id, label, text) rows, and the number of all rows by label: at most ``per_label`` documents of each label, by the order of a hash.
 
     ``labelled`` (doc_id, label; a table, as it is read twice) has few labels.
     Labels are counted first, so that a hash threshold leaves a few times
     ``per_label`` identifiers of each to rank, however many there are.  The texts
-    of those picked come from one scan.  Of rows that share a doc_id the smallest
-    text counts.
+    of those picked come from one scan, each as ``cut`` (of the column) leaves it.
+    Of rows that share a doc_id the smallest such text counts.
     """
     span = 1 << 40
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -63,5 +63,5 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> tupl
     picked = ranked.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_label)
     picked = materialise(picked.select(F.col("doc_id").alias("s_id"), "label"), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = rows.join(F.broadcast(picked), rows["doc_id"] == picked["s_id"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = rows.join(F.broadcast(picked), rows["doc_id"] == picked["s_id"]).groupBy("doc_id", "label").agg(F.min(cut(F.col("text"))).alias("text"))
     return sorted(texts.collect(), key=lambda r: (r["doc_id"], str(r["label"]))), counts

@@ -6,8 +6,9 @@ transitions tie neighbouring words.  Forward-backward gives each word's
 posterior, also where a text switches language; a document's language has the
 largest mean posterior over its words, which is the score.
 
-The field is fitted on a bounded sample of labelled documents.  Their runs of
-words are spliced across languages, so that the transitions learn how rarely a
+The field has every label of the rows that it may learn from (the driver holds
+them, and a model that grows with their number) and is fitted on a bounded sample
+of labelled documents of any length, long ones by excerpts.  Their runs of words are spliced across languages, so that the transitions learn how rarely a
 text switches.  Prediction covers every word of every text, in consecutive
 windows of ``WINDOW`` words that are worked out together, window by window.
 
@@ -39,20 +40,22 @@ from chronofold.cluster import ship
 
 from ._common import bounded_sample, materialise, released, table, text_blocks
 
-#: Labelled documents learned from, at most for each language, and languages at most (the most frequent).
+#: Labelled documents learned from, at most for each language.
 SAMPLE_PER_LANGUAGE = 150
-MAX_LANGUAGES = 64
-#: Characters of a document, at most, for it to be in that sample: bounds the driver's memory.
+#: Characters learned from of each, at most; of longer texts in pieces spread over the text.
 SAMPLE_CHARS = 4000
+SAMPLE_PIECES = 8
 WINDOW = 64
 UNDEFINED = "und"
 #: Share of a language's expected familiarity, at least, for a text to be in it.
 FAMILIAR = 0.5
 #: Sampled documents of a language, at least, for it to expect any.
 CALIBRATION_DOCS = 10
-#: Words held by a worker's cache of emission scores.
+#: Words held by a worker's cache of emission scores, with up to 16 labels; fewer with more.
 CACHE_WORDS = 250_000
 LONGEST_WORD = 64
+#: Numbers (steps x sequences x labels) in an array of fitting or prediction, about: more go in parts.
+FIT_CELLS, PREDICT_CELLS = 4_000_000, 64 * 2048 * 64
 TRAIN_WORDS_PER_LANGUAGE = 15_000
 
 def features(word: str) -> list[str]:
@@ -141,25 +144,29 @@ class Field:
         steps, count = max(map(len, words)), len(self.labels)
         lengths = np.array([len(s) for s in words])
         padded = np.zeros((steps, len(words)), np.int64)
-        truth = np.zeros((steps, len(words), count))
-        true_moves, true_start = np.zeros((count, count)), np.zeros(count)
+        true_by_word, true_moves, true_start = np.zeros((len(own), count)), np.zeros((count, count)), np.zeros(count)
         for i, (s, t) in enumerate(zip(words, tags, strict=True)):
             padded[: len(s), i] = [number[w] for w in s]
-            truth[np.arange(len(s)), i, t] = 1
+            np.add.at(true_by_word, (padded[: len(s), i], t), 1)
             np.add.at(true_moves, (t[:-1], t[1:]), 1)
             true_start[t[0]] += 1
-        live = np.arange(steps)[:, None] < lengths
+        at_once = max(1, FIT_CELLS // (steps * count))
         self.weights = np.zeros((len(self.numbers) + 1, count))
         params, memory = [self.weights, self.start, self.move], [np.full(p.shape, 1e-8) for p in (self.weights, self.start, self.move)]
         for _ in range(rounds):
             scores = np.add.reduceat(self.weights[at], begins, axis=0)
-            emission = np.exp(scores - scores.max(axis=1, keepdims=True))[padded]
-            found, moves = posteriors(emission, lengths, np.exp(self.start), np.exp(self.move), learning=True)
-            gap = (truth - found) * live[:, :, None]
-            by_word = np.stack([np.bincount(padded.reshape(-1), gap[:, :, c].reshape(-1), len(own)) for c in range(count)], 1)
+            emission = np.exp(scores - scores.max(axis=1, keepdims=True))
+            by_word, moves, first = true_by_word.copy(), np.zeros((count, count)), np.zeros(count)
+            for a in range(0, len(words), at_once):
+                some = padded[:, a : a + at_once]
+                found, part = posteriors(emission[some], lengths[a : a + at_once], np.exp(self.start), np.exp(self.move), learning=True)
+                moves += part
+                first += found[0].sum(axis=0)
+                for c in range(count):
+                    by_word[:, c] -= np.bincount(some.reshape(-1), found[:, :, c].reshape(-1), len(own))
             slope = np.stack([np.bincount(at, by_word[of, c], len(self.numbers) + 1) for c in range(count)], 1)
             slope[-1] = 0
-            slopes = [slope - l2 * self.weights, true_start - found[0].sum(axis=0) - l2 * self.start, true_moves - moves - l2 * self.move]
+            slopes = [slope - l2 * self.weights, true_start - first - l2 * self.start, true_moves - moves - l2 * self.move]
             for p, g, m in zip(params, slopes, memory, strict=True):
                 m += g * g
                 p += rate * g / np.sqrt(m)
@@ -265,9 +272,10 @@ class Field:
             begin = np.repeat(base, windows) + inside
             lengths = np.minimum(WINDOW, np.repeat(counts[first:last], windows) - inside)
             steps = np.arange(WINDOW)[:, None]
+            at_once = max(1, min(2048, PREDICT_CELLS // (WINDOW * len(self.labels))))
             for some in (np.flatnonzero(lengths == WINDOW), np.flatnonzero(lengths < WINDOW)):
-                for a in range(0, len(some), 2048):
-                    own = some[a : a + 2048]
+                for a in range(0, len(some), at_once):
+                    own = some[a : a + at_once]
                     at = np.minimum(begin[own] + steps, len(words) - 1)
                     found, _ = posteriors(rows.table[words[at]], lengths[own], np.exp(self.start), np.exp(self.move))
                     np.add.at(sums, of[own], found.sum(axis=0))
@@ -282,11 +290,12 @@ class Rows(dict):
     def __init__(self, field: Field, rated: bool = False):
         super().__init__()
         self.field, self.used = field, 1
-        self.table = np.ones((CACHE_WORDS, len(field.labels)))
+        self.limit = CACHE_WORDS * 16 // max(16, len(field.labels))
+        self.table = np.ones((self.limit, len(field.labels)))
         self.rates = np.zeros(self.table.shape, np.float32) if rated else None
 
     def fresh(self) -> Rows:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.limit:
             self.clear()
             self.used = 1
         return self
@@ -311,16 +320,25 @@ class Rows(dict):
             self.used += len(part)
 
 
+def excerpt(text, chars: int, pieces: int = SAMPLE_PIECES):
+    """The column's text; of one over ``chars`` characters, whole words of pieces spread evenly from its begin to its end."""
+    size = max(1, chars // pieces)
+    parts = []
+    for i in range(pieces):
+        at = F.floor((F.length(text) - size) * i / max(1, pieces - 1)).cast("int") + 1
+        part = F.substring(text, at, F.lit(size))
+        part = F.regexp_replace(part, r"^\S*\s+", "") if i else part  # the rest of a word cut at its begin
+        parts.append(F.regexp_replace(part, r"\s\S*$", "") if i < pieces - 1 else part)
+    return F.when(F.length(text) > chars, F.concat_ws(" ", *parts)).otherwise(text)
+
+
 def learn(docs: DataFrame, may_learn, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on a bounded sample of the rows that ``may_learn`` (a test of doc_id) allows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), F.length("text").alias("n")).where(may_learn(F.col("doc_id")) & F.col("label").isNotNull() & F.col("n").between(1, chars))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), F.length("text").alias("n")).where(may_learn(F.col("doc_id")) & F.col("label").isNotNull() & (F.col("n") > 0))
     rows = materialise(rows.where(F.col("doc_id").isNotNull()).select("doc_id", "label"), "labelled")
-    known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
-    field = Field(sorted(known))
-    if not known:
-        return field
-    found, _ = bounded_sample(docs, rows.where(F.col("label").isin(known)), per_language)
-    return field.fit([r["text"] for r in found], [r["label"] for r in found])
+    found, counts = bounded_sample(docs, rows, per_language, lambda text: excerpt(text, chars))
+    field = Field(sorted(counts))
+    return field.fit([r["text"] for r in found], [r["label"] for r in found]) if counts else field
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
