@@ -54,9 +54,11 @@ CALIBRATION_DOCS = 10
 #: Words held by a worker's cache of emission scores, with up to 16 labels; fewer with more.
 CACHE_WORDS = 250_000
 LONGEST_WORD = 64
+#: Words fitted on, at most, for each language: every sampled document gives the same number, or all it has.
+TRAIN_WORDS_PER_LANGUAGE = 15_000
 #: Numbers (steps x sequences x labels) in an array of fitting or prediction, about: more go in parts.
 FIT_CELLS, PREDICT_CELLS = 4_000_000, 64 * 2048 * 64
-TRAIN_WORDS_PER_LANGUAGE = 15_000
+
 
 def features(word: str) -> list[str]:
     """Lexicon, affix and n-gram features of a lower-cased word."""
@@ -102,6 +104,29 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, mov
     return forward, moves
 
 
+def equal_shares(sizes: list[int], total: int) -> list[int]:
+    """How much of each size to take: one number for all, or the whole size; ``total`` at most, and all of it if there is as much."""
+    out, left = [0] * len(sizes), total
+    for rank, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[i] = min(sizes[i], left // (len(sizes) - rank))
+        left -= out[i]
+    return out
+
+
+def spread(words: list[str], n: int, runs: int = 4) -> list[str]:
+    """``n`` of the words, in runs spread evenly from begin to end."""
+    if n >= len(words):
+        return words
+    runs = max(1, min(runs, n // 8))  # a run has words enough to teach transitions
+    sizes = [n // runs + (i < n % runs) for i in range(runs)]
+    gap, out, at = len(words) - n, [], 0
+    for i, size in enumerate(sizes):
+        begin = at + (gap * i // (runs - 1) if runs > 1 else 0)
+        out += words[begin : begin + size]
+        at += size
+    return out
+
+
 class Field:
     """Labels, feature weights, start weights and transitions."""
 
@@ -121,9 +146,11 @@ class Field:
         runs: dict[int, list[str]] = {i: [] for i in range(len(self.labels))}
         taken: dict[int, list[list[str]]] = {i: [] for i in runs}
         for text, lang in zip(texts, langs, strict=True):
-            c = self.labels.index(lang)
-            taken[c].append([w for w in map(letters_of, text.split()) if w][: TRAIN_WORDS_PER_LANGUAGE - len(runs[c])])
-            runs[c] += taken[c][-1]
+            taken[self.labels.index(lang)].append([w for w in map(letters_of, text.split()) if w])
+        for c, docs in taken.items():
+            shares = equal_shares([len(d) for d in docs], TRAIN_WORDS_PER_LANGUAGE)
+            taken[c] = [spread(d, n) for d, n in zip(docs, shares, strict=True)]
+            runs[c] = list(chain.from_iterable(taken[c]))
         self._know(taken)
         words, tags = self._spliced(runs, rng)
         if not len(words):

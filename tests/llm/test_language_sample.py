@@ -55,3 +55,14 @@ def test_excerpts_are_whole_words_spread_over_the_text(spark):
     assert len(got[0]) <= 4000 + language.SAMPLE_PIECES and set(own) <= set(words) and own == sorted(own)
     assert own[0] == words[0] and own[-1] == words[-1] and any("w02400" < w < "w02900" for w in own)
     assert got[1] == "short text" and 0 < len(got[2]) <= 4000 + language.SAMPLE_PIECES and got[3] is None
+
+
+def test_every_sampled_document_teaches_the_same_share(monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_WORDS_PER_LANGUAGE", 100)
+    texts = [" ".join(f"{c}{x}" + c * 3 for x in "abcdefghijklmnopqrstuvwxyz") for c in "bcdfg"]
+    held = []
+    monkeypatch.setattr(language.Field, "_know", lambda self, taken: held.append(taken))
+    language.Field(["x"]).fit(texts, ["x"] * 5, rounds=1)
+    assert [len(d) for d in held[0][0]] == [20] * 5
+    assert all(d[0] == t.split()[0] and d[-1] == t.split()[-1] for d, t in zip(held[0][0], texts))
+    assert language.equal_shares([3, 100, 0, 50], 60) == [3, 29, 0, 28] and language.equal_shares([3, 4], 60) == [3, 4]
