@@ -177,32 +177,79 @@ class Member:
             self._advance()
 
 
+#: Where a node may crash inside a batch, in order.
+CRASH_POINTS = ("before_hard_state", "after_hard_state", "after_entries", "before_send", "after_send")
+
+
+class Disk:
+    """What a node has stored."""
+
+    def __init__(self):
+        self.term, self.vote, self.log = 0, 0, []
+
+    def store_hard_state(self, m: Member) -> None:
+        self.term, self.vote = m.term, m.vote
+
+    def store_entries(self, m: Member) -> None:
+        self.log = list(m.log)
+
+    def supports(self, x: dict, voted: dict[int, int]) -> bool:
+        """Whether a message claims no more than is stored; ``voted``: votes told before, by term."""
+        if x["term"] != self.term:
+            return False
+        if x["kind"] == "RequestVoteResp" and not x["reject"]:
+            return self.vote == x["dst"] == voted.setdefault(x["term"], x["dst"])
+        return x["kind"] != "AppendResp" or x["reject"] or x["match"] <= len(self.log)
+
+
 def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps: int, quiet: int = 300) -> list[tuple]:
     """The trace of one schedule: faults for ``steps`` ticks, then ``quiet`` without any, the last 50 without proposals."""
     rng = random.Random(seed)
     peers = tuple(range(1, nodes + 1))
     new = lambda n, era, **x: Member(ConsensusSettings(node=n, peers=peers, seed=seed * 31 + era), **x)
     members, down, era = {n: new(n, 0) for n in peers}, {}, 0
-    durable = {n: (0, 0, []) for n in peers}
+    durable, voted = {n: Disk() for n in peers}, {n: {} for n in peers}
+    faults = random.Random(seed * 7 + 3)
     wires: list[tuple[int, int, dict]] = []
     blocked: set[tuple[int, int]] = set()
     trace, count, given = [], 0, 0
 
     def settle(n: int, tick: int) -> None:
-        """What a node must store is stored before its messages leave."""
+        """What a node must store is stored before its messages leave; it may crash at each point between."""
         nonlocal count
-        m = members[n]
-        durable[n] = (m.term, m.vote, list(m.log))
-        trace.extend((seed, tick, n, *x) for x in m.seen)
-        for x in m.out:
-            if x["term"] > durable[n][0]:
-                trace.append((seed, tick, n, "unsendable", x["term"], 0, "", x["kind"]))
+        m, disk = members[n], durable[n]
+        seen, out = m.seen, m.out
+        m.seen, m.out = [], []
+        batch = bool(seen or out or (m.term, m.vote) != (disk.term, disk.vote))
+
+        def crashes(point: str) -> bool:
+            if not batch or tick >= steps or len(down) >= nodes // 2 or faults.random() >= 0.002:
+                return False
+            down[n] = tick + faults.randrange(5, 40)
+            trace.append((seed, tick, n, "crashed", 0, 0, "", point))
+            return True
+
+        if crashes("before_hard_state"):
+            return
+        disk.store_hard_state(m)
+        if crashes("after_hard_state"):
+            return
+        disk.store_entries(m)
+        if crashes("after_entries"):
+            return
+        trace.extend((seed, tick, n, "unsendable", x["term"], x.get("match", 0), "", x["kind"]) for x in out if not disk.supports(x, voted[n]))
+        if crashes("before_send"):
+            return
+        trace.extend((seed, tick, n, *x) for x in seen if x[0] != "committed")
+        for x in out:
             faulty = tick < steps
             for _ in range(2 if faulty and rng.random() < dup else 1):
                 if not (faulty and rng.random() < drop):
                     count += 1
                     wires.append((tick + 1 + (rng.randrange(delay + 1) if faulty else 0), count, x))
-        m.seen, m.out = [], []
+        if crashes("after_send"):
+            return
+        trace.extend((seed, tick, n, *x) for x in seen if x[0] == "committed")  # applied last
 
     for tick in range(steps + quiet):
         if tick < steps:
@@ -219,9 +266,9 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
         for n in [n for n, until in down.items() if tick >= until or tick >= steps]:
             del down[n]
             era += 1
-            term, vote, log = durable[n]
-            members[n] = new(n, era, term=term, vote=vote, log=log)
-            trace.append((seed, tick, n, "restarted", term, 0, "", ""))
+            disk = durable[n]
+            members[n] = new(n, era, term=disk.term, vote=disk.vote, log=disk.log)
+            trace.append((seed, tick, n, "restarted", disk.term, 0, "", ""))
         due = sorted((w for w in wires if w[0] <= tick), key=lambda w: (w[0], w[1]))
         wires = [w for w in wires if w[0] > tick]
         if tick < steps:
@@ -274,5 +321,5 @@ def check_traces(trace: DataFrame) -> DataFrame:
     return unsent.join(leaders, "seed", "left").join(agreed, "seed", "left").join(ends, "seed", "left")
 
 
-QUERIES = {"sim_schedules": lambda s, d: check_traces(run_schedules(random_schedules(s, 25)))}
+QUERIES = {"sim_schedules": lambda s, d: check_traces(run_schedules(random_schedules(s, 500)))}
 ORACLE_SQL: dict = {}
