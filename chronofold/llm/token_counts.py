@@ -1,11 +1,12 @@
-"""Token counts: pieces counted once per distinct pre-token, joined to frequencies.
+"""Token counts: pieces counted once per distinct pre-token of a task, joined to frequencies.
 
 A text is a bag of pre-tokens across whose borders no piece reaches, so its token
-count is the sum of frequency x pieces.  Each worker keeps a bounded table
-of distinct pre-tokens with their pieces, joins it by hash to each document's
+count is the sum of frequency x pieces.  Each task keeps a bounded table of
+distinct pre-tokens with their pieces, joins it by hash to each document's
 pre-token frequencies, and sums; ids of documents are never made.  The table is
-the worker's own: a join over the corpus would shuffle a row for each document
-and pre-token, several times the text itself.
+the task's own and emptied at its end (and when full), so a pre-token is counted
+again in each task that meets it: a join over the corpus would shuffle a row for
+each document and distinct pre-token of it.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a null doc_id is
 kept; repeated rows are counted each; other columns are ignored; an empty table
