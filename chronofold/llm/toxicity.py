@@ -219,7 +219,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn, per_label: in
 
 
 def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids: list[int], label_weights: dict[int, float] | None = None, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, score and evidence (nearest examples' doc_ids with cosines) of each row of ``docs``."""
+    """doc_id, score and evidence (doc_ids and cosines of all examples that voted, ``k`` at most) of each row of ``docs``."""
     model = Model(texts, labels, k, label_weights)
     held = ship(docs.sparkSession).sparkContext.broadcast(model)  # bounded by the sample
     ids = np.asarray(doc_ids, np.int64)
@@ -234,7 +234,7 @@ def score_toxicity(docs: DataFrame, texts: list[str], labels: list[int], doc_ids
                 for text in batch.column("text"):
                     score, near = model.score(text.as_py())
                     scores.append(score)
-                    why.append([{"doc_id": int(ids[i]), "cosine": c} for i, c in near[:3]])
+                    why.append([{"doc_id": int(ids[i]), "cosine": c} for i, c in near])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(why, evidence)], names=["doc_id", "score", "evidence"])
 
     return rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
