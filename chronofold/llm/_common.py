@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import filesystem, materialise, shared_dir, ship
 
-__all__ = ["bounded_sample", "filesystem", "materialise", "released", "shared_dir", "ship", "table", "text_blocks"]
+__all__ = ["bounded_sample", "excerpt", "filesystem", "materialise", "released", "shared_dir", "ship", "table", "text_blocks"]
 
 #: Characters of text handled at once by the block-wise Python operators.
 BLOCK_CHARS = 2_000_000
+#: Pieces of a long text that a sample learns from.
+SAMPLE_PIECES = 8
 
 
 def text_blocks(texts: Iterable, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -44,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def excerpt(text, chars: int, pieces: int = SAMPLE_PIECES):
+    """The column's text; of one over ``chars`` characters, whole words of pieces spread evenly from its begin to its end."""
+    size = max(1, chars // pieces)
+    parts = []
+    for i in range(pieces):
+        at = F.floor((F.length(text) - size) * i / max(1, pieces - 1)).cast("int") + 1
+        part = F.substring(text, at, F.lit(size))
+        part = F.regexp_replace(part, r"^\S*\s+", "") if i else part  # the rest of a word cut at its begin
+        parts.append(F.regexp_replace(part, r"\s\S*$", "") if i < pieces - 1 else part)
+    return F.when(F.length(text) > chars, F.concat_ws(" ", *parts)).otherwise(text)
+
+
 def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, cut=lambda text: text) -> tuple[list, dict]:
     """(doc_id, label, text) rows, and the number of all rows by label: at most ``per_label`` documents of each label, by the order of a hash.
 

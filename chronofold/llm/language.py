@@ -38,13 +38,12 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 
-from ._common import bounded_sample, materialise, released, table, text_blocks
+from ._common import bounded_sample, excerpt, materialise, released, table, text_blocks
 
 #: Labelled documents learned from, at most for each language.
 SAMPLE_PER_LANGUAGE = 150
 #: Characters learned from of each, at most; of longer texts in pieces spread over the text.
 SAMPLE_CHARS = 4000
-SAMPLE_PIECES = 8
 WINDOW = 64
 UNDEFINED = "und"
 #: Share of a language's expected familiarity, at least, for a text to be in it.
@@ -347,18 +346,6 @@ class Rows(dict):
             self.used += len(part)
 
 
-def excerpt(text, chars: int, pieces: int = SAMPLE_PIECES):
-    """The column's text; of one over ``chars`` characters, whole words of pieces spread evenly from its begin to its end."""
-    size = max(1, chars // pieces)
-    parts = []
-    for i in range(pieces):
-        at = F.floor((F.length(text) - size) * i / max(1, pieces - 1)).cast("int") + 1
-        part = F.substring(text, at, F.lit(size))
-        part = F.regexp_replace(part, r"^\S*\s+", "") if i else part  # the rest of a word cut at its begin
-        parts.append(F.regexp_replace(part, r"\s\S*$", "") if i < pieces - 1 else part)
-    return F.when(F.length(text) > chars, F.concat_ws(" ", *parts)).otherwise(text)
-
-
 def learn(docs: DataFrame, may_learn, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on a bounded sample of the rows that ``may_learn`` (a test of doc_id) allows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"), F.length("text").alias("n")).where(may_learn(F.col("doc_id")) & F.col("label").isNotNull() & (F.col("n") > 0))

@@ -1,6 +1,6 @@
 """The sample bounds what is learned from, never which languages are learned."""
 
-from chronofold.llm import language
+from chronofold.llm import _common, language
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -50,11 +50,11 @@ def test_fitting_in_parts_changes_nothing(monkeypatch):
 def test_excerpts_are_whole_words_spread_over_the_text(spark):
     words = [f"w{i:05}" for i in range(5000)]
     rows = [(" ".join(words),), ("short text",), ("x" * 9000,), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(language.excerpt(F.col("text"), 4000)).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(_common.excerpt(F.col("text"), 4000)).collect()]
     own = got[0].split()
-    assert len(got[0]) <= 4000 + language.SAMPLE_PIECES and set(own) <= set(words) and own == sorted(own)
+    assert len(got[0]) <= 4000 + _common.SAMPLE_PIECES and set(own) <= set(words) and own == sorted(own)
     assert own[0] == words[0] and own[-1] == words[-1] and any("w02400" < w < "w02900" for w in own)
-    assert got[1] == "short text" and 0 < len(got[2]) <= 4000 + language.SAMPLE_PIECES and got[3] is None
+    assert got[1] == "short text" and 0 < len(got[2]) <= 4000 + _common.SAMPLE_PIECES and got[3] is None
 
 
 def test_every_sampled_document_teaches_the_same_share(monkeypatch):
