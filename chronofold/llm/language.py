@@ -9,8 +9,10 @@ largest mean posterior over its words, which is the score.
 The field has every label of the rows that it may learn from (the driver holds
 them, and a model that grows with their number) and is fitted on a bounded sample
 of labelled documents of any length, long ones by excerpts.  Their runs of words are spliced across languages, so that the transitions learn how rarely a
-text switches.  Prediction covers every word of every text, in consecutive
-windows of ``WINDOW`` words that are worked out together, window by window.
+text switches.  Prediction covers every word of every text as one chain: its
+consecutive windows of ``WINDOW`` words are worked out side by side, and those
+whose messages from the windows beside them then turn out otherwise are worked
+out again, until none do, so the posteriors are those of the uncut chain.
 
 Posteriors only compare the languages learned.  Whether a text is in any of them
 is judged by familiarity: the share of a word's features that the word's own
@@ -22,8 +24,9 @@ expects nothing: it is too little known to turn texts away.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter,
 or where nothing could be learned; ties go to the label that sorts first; null
-or repeated doc_ids are labelled like any other; a row with null lang teaches
-nothing; other columns are ignored; an empty table gives no rows.
+or repeated doc_ids are labelled like any other; a null doc_id is not held out and
+teaches nothing, as does a row with null lang; a word of any length counts with
+all its features; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +47,8 @@ from ._common import bounded_sample, excerpt, materialise, released, table, text
 SAMPLE_PER_LANGUAGE = 150
 #: Characters learned from of each, at most; of longer texts in pieces spread over the text.
 SAMPLE_CHARS = 4000
-WINDOW = 64
+#: Words of a window; words beside a window that its first messages come from; largest change of a message that is let be.
+WINDOW, LEAD, SAME = 64, 16, 1e-11
 UNDEFINED = "und"
 #: Share of a language's expected familiarity, at least, for a text to be in it.
 FAMILIAR = 0.5
@@ -52,7 +56,6 @@ FAMILIAR = 0.5
 CALIBRATION_DOCS = 10
 #: Words held by a worker's cache of emission scores, with up to 16 labels; fewer with more.
 CACHE_WORDS = 250_000
-LONGEST_WORD = 64
 #: Words fitted on, at most, for each language: every sampled document gives the same number, or all it has.
 TRAIN_WORDS_PER_LANGUAGE = 15_000
 #: Numbers (steps x sequences x labels) in an array of fitting or prediction, about: more go in parts.
@@ -72,12 +75,14 @@ def letters_of(chunk: str) -> str:
     return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk.lower()))
 
 
-def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, learning: bool = False, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded sequences.
 
-    ``emission`` is (steps, sequences, labels), exponentiated; ``start`` and
-    ``move`` likewise.  Returns posteriors (zero past a sequence's end) and,
-    where ``learning``, the expected moves.
+    ``emission`` is (steps, sequences, labels), exponentiated; ``start`` (for all
+    or for each sequence) and ``move`` likewise; ``after`` is the message from
+    what follows each sequence, all of full length then.  Returns posteriors
+    (zero past a sequence's end), the expected moves where ``learning``, and the
+    messages to what follows a full sequence and to what goes before each.
     """
     steps, n, labels = emission.shape
     forward, scale = np.empty_like(emission), np.empty((steps, n, 1))
@@ -88,7 +93,10 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, mov
             now = (forward[t - 1] @ move) * emission[t]
         scale[t] = now.sum(axis=1, keepdims=True)
         np.divide(now, scale[t], out=forward[t])
+    onward = forward[-1] @ move
     moves, back = np.zeros((labels, labels)), np.ones((n, labels))
+    if after is not None:
+        back = after / (forward[-1] * after).sum(axis=1, keepdims=True)
     for t in range(steps - 1, -1, -1):
         if t + 1 < steps:
             ahead = back * emission[t + 1] / scale[t + 1]
@@ -100,7 +108,11 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, mov
         forward[t] *= back  # its last use as such was above
         if not full:
             forward[t][lengths <= t] = 0.0
-    return forward, moves
+    return forward, moves, onward, (back * emission[0]) @ move.T
+
+
+def _unit(message: np.ndarray) -> np.ndarray:
+    return message / message.sum(axis=1, keepdims=True)
 
 
 def equal_shares(sizes: list[int], total: int) -> list[int]:
@@ -185,7 +197,7 @@ class Field:
             by_word, moves, first = true_by_word.copy(), np.zeros((count, count)), np.zeros(count)
             for a in range(0, len(words), at_once):
                 some = padded[:, a : a + at_once]
-                found, part = posteriors(emission[some], lengths[a : a + at_once], np.exp(self.start), np.exp(self.move), learning=True)
+                found, part, _, _ = posteriors(emission[some], lengths[a : a + at_once], np.exp(self.start), np.exp(self.move), learning=True)
                 moves += part
                 first += found[0].sum(axis=0)
                 for c in range(count):
@@ -259,8 +271,6 @@ class Field:
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         at = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
         score = np.add.reduceat(self.weights[at], np.cumsum(sizes) - sizes, axis=0)
-        # a very long chunk of letters counts like a word of LONGEST_WORD
-        score *= np.minimum(1, LONGEST_WORD / np.fromiter(map(len, words), np.int64, len(words)))[:, None]
         return np.exp(score - score.max(axis=1, keepdims=True))
 
     def clear(self) -> None:
@@ -297,17 +307,55 @@ class Field:
             inside = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
             begin = np.repeat(base, windows) + inside
             lengths = np.minimum(WINDOW, np.repeat(counts[first:last], windows) - inside)
-            steps = np.arange(WINDOW)[:, None]
-            at_once = max(1, min(2048, PREDICT_CELLS // (WINDOW * len(self.labels))))
-            for some in (np.flatnonzero(lengths == WINDOW), np.flatnonzero(lengths < WINDOW)):
+            found, rated_by = self._chains(words, begin, lengths, np.flatnonzero(inside > 0), rated)
+            np.add.at(sums, of, found)
+            np.add.at(rates, of, rated_by)
+        return sums, counts, rates
+
+    def _chains(self, words: np.ndarray, begin: np.ndarray, lengths: np.ndarray, later: np.ndarray, rated: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of posteriors, and of rates, over each window of ``words`` (rows of the table).
+
+        ``later`` are the windows that follow the one before them in their text.
+        Their messages are first those of ``LEAD`` words beside them.  A pass makes
+        at least one more window of each text final, and as what a message says
+        fades from word to word, nearly all at once.
+        """
+        start, move, count = np.exp(self.start), np.exp(self.move), len(begin)
+        before, after = np.tile(start / start.sum(), (count, 1)), np.ones((count, len(start)))
+        if len(later):
+            lead = np.full((len(later), len(start)), 1.0)
+            for t in range(LEAD, 0, -1):
+                lead = _unit((lead @ move) * self.rows.table[words[begin[later] - t]])
+            before[later] = _unit(lead @ move)
+            lead = np.full((len(later), len(start)), 1.0)
+            for t in range(LEAD - 1, -1, -1):
+                held = np.flatnonzero(lengths[later] > t)
+                lead[held] = _unit((lead[held] * self.rows.table[words[begin[later[held]] + t]]) @ move.T)
+            after[later - 1] = _unit(lead)
+        sums, rates = np.zeros((count, len(start))), np.zeros(count)
+        onward, backward = np.empty_like(before), np.empty_like(after)
+        steps = np.arange(WINDOW)[:, None]
+        at_once = max(1, min(2048, PREDICT_CELLS // (WINDOW * len(start))))
+        todo = np.arange(count)
+        while len(todo):
+            full = lengths[todo] == WINDOW
+            for some in (todo[full], todo[~full]):
                 for a in range(0, len(some), at_once):
                     own = some[a : a + at_once]
                     at = np.minimum(begin[own] + steps, len(words) - 1)
-                    found, _ = posteriors(rows.table[words[at]], lengths[own], np.exp(self.start), np.exp(self.move))
-                    np.add.at(sums, of[own], found.sum(axis=0))
+                    # a window that is not full is its text's last: nothing follows
+                    found, _, onward[own], backward[own] = posteriors(self.rows.table[words[at]], lengths[own], before[own], move, after=after[own] if lengths[own[0]] == WINDOW else None)
+                    sums[own] = found.sum(axis=0)
                     if rated:
-                        np.add.at(rates, of[own], np.einsum("tnc,tnc->n", found, rows.rates[words[at]]))
-        return sums, counts, rates
+                        rates[own] = np.einsum("tnc,tnc->n", found, self.rows.rates[words[at]])
+            again = np.zeros(count, bool)
+            for own, told, heard in ((later, onward[later - 1], before), (later - 1, backward[later], after)):
+                told = _unit(told)
+                other = np.abs(told - _unit(heard[own])).max(axis=1, initial=0.0) > SAME
+                heard[own[other]] = told[other]
+                again[own[other]] = True
+            todo = np.flatnonzero(again)
+        return sums, rates
 
 
 class Rows(dict):
@@ -401,7 +449,7 @@ def keep_known(docs: DataFrame, field: Field, familiar: float = FAMILIAR) -> Dat
 
 
 def held_out(doc_id):
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
