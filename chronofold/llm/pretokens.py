@@ -113,7 +113,11 @@ class IdEncoder:
 
 
 class PieceCounter:
-    """Number of pieces of whole texts, from the pieces of each distinct pre-token."""
+    """Pre-tokens of whole texts, and the number of pieces of each.
+
+    A pre-token's key is what follows its one leading space; one that begins
+    otherwise has its own text after a space as its key.
+    """
 
     #: Put before a pre-token so that no prefix space is added to it.
     GUARD = "\n"
@@ -127,30 +131,32 @@ class PieceCounter:
         if any("\n" in x or re.search("[^▁]▁", x) for x in pieces):
             raise ValueError("this vocabulary joins pieces across the pre-token boundaries")
         self.guard = len(self.library.encode(self.GUARD))
-        self.parts = Cache(self._part, limit // 2)
-        self.words = Cache(self._word, limit)
+        self.parts = Cache(self._part, limit)
 
     def _part(self, part: str) -> int:
         return len(self.library.encode(self.GUARD + part)) - self.guard
 
-    def _word(self, word: str) -> int | None:
-        """The pieces of a space and the word; None where space meets space."""
-        if not word:
-            return None
-        if "\n" in word:
-            return sum(self.parts[x] for x in PIECE_PARTS.findall(" " + word))
-        return self._part(" " + word)
+    def pieces(self, key: str) -> int:
+        if key[0] == " ":
+            return self._part(key[1:])
+        if "\n" in key:
+            return sum(self.parts[x] for x in PIECE_PARTS.findall(" " + key))
+        return self._part(" " + key)
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        text = text.replace("▁", " ")
-        frequency = Counter(text.split(" "))  # the library puts a space before the first word too
-        try:
-            return sum(map(mul, map(self.words.__getitem__, frequency), frequency.values()))
-        except TypeError:  # a None: runs of spaces
-            frequency = Counter(PIECE_PARTS.findall(" " + text))
-            return sum(map(mul, map(self.parts.__getitem__, frequency), frequency.values()))
+        return sum(n * self.pieces(key) for key, n in Counter(piece_keys(text)).items())
+
+
+def piece_keys(text: str) -> list[str]:
+    """The keys of a text's pre-tokens, in order."""
+    if not text:
+        return []
+    text = text.replace("▁", " ")
+    keys = text.split(" ")  # the library puts a space before the first word too
+    if "" not in keys:
+        return keys
+    # runs of spaces
+    return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != " " else " " + x for x in PIECE_PARTS.findall(" " + text)]
 
 
 @functools.lru_cache(maxsize=2)

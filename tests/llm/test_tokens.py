@@ -1,13 +1,14 @@
 """Token counts, token shards and packing against the tokenisers' own results."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from chronofold.llm import packing, token_counts, token_shards
 from chronofold.llm._common import shared_dir
-from chronofold.llm.pretokens import IdEncoder, PieceCounter
+from chronofold.llm.pretokens import IdEncoder, PieceCounter, piece_keys
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -45,12 +46,32 @@ def test_a_full_cache_starts_anew():
     assert coder.encode(text) == coder.whole(text) and len(coder.words) <= 4
 
 
-def test_token_counts(spark, edge, empty):
+@pytest.mark.parametrize("head", [token_counts.HEAD_ENTRIES, 300, 0])
+def test_token_counts(spark, edge, empty, head):
+    """With all, some and no pre-tokens in the table that every task gets."""
     for docs in (documents(spark, SF_TINY), edge):
         rows = docs.select("doc_id", "text").collect()
         want = sorted(((r[0], len((r[1] or "").encode()), len(COUNTER.library.encode(r[1] or ""))) for r in rows), key=str)
-        assert sorted((tuple(r) for r in token_counts.count_tokens(docs).collect()), key=str) == want
-    assert token_counts.count_tokens(empty).collect() == []
+        assert sorted((tuple(r) for r in token_counts.count_tokens(docs, head_entries=head).collect()), key=str) == want
+    assert token_counts.count_tokens(empty, head_entries=head).collect() == []
+
+
+def test_each_distinct_pre_token_is_listed_once(spark, monkeypatch):
+    docs = documents(spark, SF_TINY).where("text IS NOT NULL").select("text").repartition(5)
+    want = Counter(k for r in docs.collect() for k in piece_keys(r["text"]))
+    known = token_counts.distinct_pre_tokens(docs, token_counts.VOCABULARY, held_entries=50).collect()
+    assert {r["part"]: r["n"] for r in known} == want and len(known) == len(want)
+    assert all(r["pieces"] == COUNTER.pieces(r["part"]) for r in known[:500])
+
+
+def test_registered_token_counts(spark):
+    rows = token_counts.op1_token_counts(spark, SF_TINY).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
+    texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, SF_TINY).collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(COUNTER.library.encode(texts[r["doc_id"]]))
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 4096, len(texts[r["doc_id"]].encode()))
 
 
 def shard_rows(spark, docs):
