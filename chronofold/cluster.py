@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or below one made here where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below one made here if all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofold-"))
         base = spark.sparkContext.getCheckpointDir()
     _made.append(f"{base.rstrip('/')}/chronofold/{kind}-{uuid.uuid4().hex}")

@@ -169,22 +169,21 @@ class Engine:
         trace.span("validate")
         good = rows.where("code = 'OK'").drop("code", "reason").withColumn("digest", codec.command_digest(F.col("kind"), F.col("key"), F.col("value")))
         held = self.sessions()
-        decided = materialise(admission.continue_sessions(good, held), "decisions")
-        accepted = decided.where("decision = 'EXECUTE'")
-        # sessions are bounded: clients without one enter in order of their first accepted request
-        room = max(0, s.max_sessions - held.count())
-        new = accepted.join(held.select("client"), "client", "left_anti").groupBy("client").agg(F.min("pos").alias("first_pos"))
-        refused = new.join(new.orderBy("first_pos").limit(room).select("client"), "client", "left_anti").select("client", F.lit(True).alias("refused"))
-        decided = decided.join(refused, "client", "left").withColumn("decision", F.when(F.col("refused"), F.lit("RESOURCE_EXHAUSTED")).otherwise(F.col("decision"))).drop("refused")
+        live = materialise(self.kv().select("key").join(good.select(F.col("key").alias("t_key")).distinct(), F.col("key") == F.col("t_key"), "left_semi"), "touched-keys")
+        # a table that cannot become full needs no order between clients
+        room_sessions, room_keys = s.max_sessions - held.count(), s.max_keys - self.kv().count()
+        clients = good.where("request_seq = 1").select("client").distinct().join(held.select("client"), "client", "left_anti").count()
+        keys = good.where(F.col("kind") == PUT).select("key").distinct().join(live, "key", "left_anti").count()
+        if clients > room_sessions or keys > room_keys:
+            touched = held.join(good.select(F.col("client").alias("t_client")).distinct(), F.col("client") == F.col("t_client"), "left_semi")
+            decided = admission.decide_within_limits(good, touched, live, room_sessions, room_keys)
+        else:
+            decided = admission.continue_sessions(good, held)
+        decided = materialise(decided, "decisions")
         trace.span("admit")
-        live = self.kv()
         accepted = decided.where("decision = 'EXECUTE'")
         seq = global_sequence(accepted.select("pos"), "pos").select("pos", (F.col("global_seq") + self.applied).alias("global_seq"))
         commands = accepted.join(seq, "pos").select("global_seq", "client", "request_seq", "kind", "key", "value", "digest", "pos")
-        # keys are bounded too, checked for the batch as a whole: it is refused before anything is written
-        added = commands.where(F.col("kind") == PUT).select("key").distinct().join(live.select("key"), "key", "left_anti").count()
-        if live.count() + added > s.max_keys:
-            raise ChangelogError("RESOURCE_EXHAUSTED", "the batch would exceed the key limit")
         base = live.select(F.lit(0).cast("long").alias("global_seq"), "key", F.lit(PUT).alias("kind"), F.lit(True).alias("old"))
         ran = fold.with_existed(base.unionByName(commands.withColumn("old", F.lit(False)), allowMissingColumns=True)).where("NOT old")
         name = f"batch-{self.applied + 1:020d}"

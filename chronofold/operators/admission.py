@@ -94,6 +94,53 @@ def continue_sessions(attempts: DataFrame, sessions: DataFrame) -> DataFrame:
     return attempts.join(decided, F.col("pos") == F.col("d_pos")).drop("d_pos")
 
 
+def decide_within_limits(attempts: DataFrame, sessions: DataFrame, live: DataFrame, room_sessions: int, room_keys: int) -> DataFrame:
+    """``attempts`` (with digest) and their decisions, one request at a time, where the table may become full.
+
+    ``sessions`` and ``live`` are those that the attempts touch; the rooms are how
+    many more clients and keys there may be.  A client beyond its limit is refused
+    at sequence 1, a new key at its PUT; neither leaves a trace, and a DELETE makes
+    room again.  A decision depends on all before it, so the batch streams through
+    one task in order of ``pos``; it holds a client's last request and the keys
+    that the batch touches, no values.
+    """
+    ship(attempts.sparkSession)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = attempts.select("pos", "client", "request_seq", "kind", "key", "digest")
+    rows = rows.unionByName(sessions.select(F.lit(-2).cast("long").alias("pos"), "client", F.col("last_sequence").alias("request_seq"), none("int").alias("kind"), none("string").alias("key"), "digest"))
+    rows = rows.unionByName(live.select(F.lit(-1).cast("long").alias("pos"), none("long").alias("client"), none("long").alias("request_seq"), none("int").alias("kind"), "key", none("string").alias("digest")))
+
+    def run(batches):
+        last, keys, clients, free = {}, set(), room_sessions, room_keys
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["pos"] == -2:
+                    last[r["client"]] = (r["request_seq"], r["digest"])
+                    continue
+                if r["pos"] == -1:
+                    keys.add(r["key"])
+                    continue
+                high, own = last.get(r["client"], (0, None))
+                decision = decide(high, own, r["request_seq"], r["digest"])
+                if decision == EXECUTE and (not high and clients <= 0 or r["kind"] == PUT and r["key"] not in keys and free <= 0):
+                    decision = "RESOURCE_EXHAUSTED"
+                if decision == EXECUTE:
+                    clients -= not high
+                    last[r["client"]] = (r["request_seq"], r["digest"])
+                    if r["kind"] == PUT and r["key"] not in keys:
+                        keys.add(r["key"])
+                        free -= 1
+                    elif r["kind"] == DELETE and r["key"] in keys:
+                        keys.remove(r["key"])
+                        free += 1
+                out.append({"d_pos": r["pos"], "decision": decision})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("d_pos", pa.int64()), ("decision", pa.string())]))
+
+    decided = rows.repartition(1).sortWithinPartitions("pos").mapInArrow(run, "d_pos long, decision string")
+    return attempts.join(decided, F.col("pos") == F.col("d_pos")).drop("d_pos")
+
+
 def high_water(attempts: DataFrame) -> DataFrame:
     """Each client's last accepted sequence, and attempts by decision."""
     return classify(attempts).groupBy("client").agg(F.max("high_water").alias("last_sequence"), F.count("*").alias("attempts"), F.count_if(F.col("decision") == EXECUTE).alias("executed"))
@@ -115,12 +162,12 @@ def session_capacity(attempts: DataFrame, max_sessions: int) -> DataFrame:
 def key_capacity(commands: DataFrame, max_keys: int) -> DataFrame:
     """Commands that a table of at most ``max_keys`` live keys rejects.
 
-    A rejected PUT leaves no key, so the rule is a fold over the whole log: rows
-    stream in global order through one task, which holds live keys alone (at most
-    ``max_keys``).  The log is range-sorted in parallel first.
+    A rejected PUT leaves no key, so the rule is a fold over the whole log, and one
+    task sorts it (spilling) and streams it; it gets no values and holds live keys
+    alone, at most ``max_keys``.
     """
     ship(commands.sparkSession)
-    rows = commands.select("global_seq", "kind", "key").sort("global_seq").coalesce(1)
+    rows = commands.select("global_seq", "kind", "key").repartition(1).sortWithinPartitions("global_seq")
 
     def run(batches):
         live: set = set()
@@ -203,6 +250,14 @@ ORACLE_SQL = {
     ) SELECT pos, CASE WHEN reason IS NULL THEN 'OK' ELSE 'INVALID_ARGUMENT' END AS code, reason FROM why""", "cmd_log", "deliveries"),
     "admission_classify": _recursive(_FOLD + " SELECT pos, client, request_seq, decision, high_water FROM fold"),
     "session_high_water": _recursive(_FOLD + " SELECT client, max(high_water) AS last_sequence, count(*) AS attempts, count(*) FILTER (WHERE decision = 'EXECUTE') AS executed FROM fold GROUP BY client"),
+    "key_capacity": sql(""", c AS MATERIALIZED (SELECT global_seq, kind, key FROM cmd_log
+    ), fold AS (
+      SELECT CAST(0 AS BIGINT) AS global_seq, CAST([] AS VARCHAR[]) AS live, '' AS decision
+      UNION ALL
+      SELECT c.global_seq, CASE WHEN kind = 2 THEN list_filter(live, lambda x: x <> key) WHEN list_contains(live, key) OR len(live) >= 50 THEN live ELSE list_append(live, key) END,
+             CASE WHEN kind = 2 OR list_contains(live, key) OR len(live) < 50 THEN 'EXECUTE' ELSE 'RESOURCE_EXHAUSTED' END
+      FROM fold f JOIN c ON c.global_seq = f.global_seq + 1
+    ) SELECT global_seq, decision FROM fold WHERE global_seq > 0""", "cmd_log").replace("WITH ", "WITH RECURSIVE ", 1),
     "session_capacity": sql(""", f AS (SELECT client, min(pos) AS first_pos FROM deliveries WHERE request_seq = 1 GROUP BY client)
       SELECT client, first_pos, CASE WHEN row_number() OVER (ORDER BY first_pos, client) <= 100 THEN 'EXECUTE' ELSE 'RESOURCE_EXHAUSTED' END AS decision FROM f""", "cmd_log", "deliveries"),
     "op_counters": _recursive(_FOLD + """ SELECT count(*) AS attempts, count(*) FILTER (WHERE decision = 'EXECUTE' AND kind = 1) AS puts, count(*) FILTER (WHERE decision = 'EXECUTE' AND kind = 2) AS deletes,

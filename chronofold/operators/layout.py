@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold import model
-from chronofold.cluster import ship
+from chronofold.cluster import materialise, ship
 from chronofold.functions import codec
 from chronofold.operators.codecs import _NAMES_SQL, _names
 from chronofold.operators.fold import latest_state, session_table
 from chronofold.sources.changelog import cmd_log, global_sequence, sql
 
 TARGET_BYTES = 4096
+#: Frames of a chunk in segment assignment; divides the row numbers of a partition evenly.
+CHUNK_FRAMES = 256
 
 
 def frame_sizes(commands: DataFrame) -> DataFrame:
@@ -24,24 +26,38 @@ def frame_sizes(commands: DataFrame) -> DataFrame:
 def assign_segments(frames: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """The segment (1, 2, 3…) of each frame: a segment closes once it holds ``target`` bytes.
 
-    The size starts anew in each segment, so this is a fold over the whole log.
-    Frames are range-sorted in parallel; two numbers per frame then stream
-    through one task, which holds one size.
+    The size starts anew in each segment, so where segments begin is a fold.
+    Frames are range-sorted in parallel and cut into chunks of ``CHUNK_FRAMES``.
+    Only chunks stream through one task, a row for each, with the sizes in it;
+    a chunk in which no segment ends is one addition.  It answers with the segment
+    that each chunk begins in and the frames at which segments end in it, and
+    frames meet their chunk's answer by a join.
     """
     ship(frames.sparkSession)
+    at = frames.repartitionByRange("global_seq").sortWithinPartitions("global_seq").withColumn("at", F.monotonically_increasing_id())
+    held = materialise(at.select("global_seq", "bytes", F.expr(f"at div {CHUNK_FRAMES}").alias("chunk")), "frames-in-order")
+    chunks = held.groupBy("chunk").agg(F.sum("bytes").alias("total"), F.sort_array(F.collect_list(F.struct("global_seq", "bytes"))).alias("frames"))
 
     def run(batches):
         segment, size = 1, model.SEGMENT_HEADER_BYTES
         for batch in batches:
-            out = []
-            for n in batch.column("bytes").to_pylist():
-                out.append(segment)
-                size += n
-                if size >= target:
-                    segment, size = segment + 1, model.SEGMENT_HEADER_BYTES
-            yield pa.RecordBatch.from_arrays([batch.column("global_seq"), batch.column("bytes"), pa.array(out, pa.int64())], names=["global_seq", "bytes", "segment"])
-
-    return frames.sort("global_seq").coalesce(1).mapInArrow(run, "global_seq long, bytes long, segment long")
+            begins, ends = [], []
+            for total, inside in zip(batch.column("total").to_pylist(), batch.column("frames"), strict=True):
+                begins.append(segment)
+                ends.append([])
+                if size + total < target:
+                    size += total
+                    continue
+                for r in inside.as_py():
+                    size += r["bytes"]
+                    if size >= target:
+                        ends[-1].append(r["global_seq"])
+                        segment, size = segment + 1, model.SEGMENT_HEADER_BYTES
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(begins, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["chunk", "begins_in", "ends"])
+
+    marks = chunks.repartition(1).sortWithinPartitions("chunk").mapInArrow(run, "chunk long, begins_in long, ends array<long>")
+    segment = F.col("begins_in") + F.size(F.filter("ends", lambda e: e < F.col("global_seq")))
+    return held.join(marks, "chunk").select("global_seq", "bytes", segment.alias("segment"))
 
 
 def segment_table(assigned: DataFrame) -> DataFrame:

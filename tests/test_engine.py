@@ -82,9 +82,6 @@ def test_queue_traces_and_faults(spark, tmp_path, monkeypatch):
     assert [n for n, _, _ in trace.spans] == ["validate", "admit", "append", "sync", "respond"]
     assert sum(d for _, d, _ in trace.spans) <= trace.total_ns and "secret" not in repr(trace)
     assert spark.createDataFrame([t.row() for t in traces], TRACE_SCHEMA).count() == 1
-    # a batch that would hold too many keys is refused whole
-    batch = [(1, 1, 2, 1, "x", ""), (2, 1, 3, 1, "y", "")]
-    assert code(engine.apply, spark.createDataFrame(batch, DELIVERY_SCHEMA)) == "RESOURCE_EXHAUSTED"
     # a failure on the way to the manifest leaves the outcome unknown and the engine faulted; reopening tells
     monkeypatch.setattr(Engine, "_publish", lambda *a: (_ for _ in ()).throw(OSError("disk")))
     assert code(engine.put, 1, 2, "x", "1") == "STORAGE" and code(engine.get, "x") == "FAULTED"
@@ -93,3 +90,46 @@ def test_queue_traces_and_faults(spark, tmp_path, monkeypatch):
     engine = Engine(spark, folder)
     assert engine.get("x")[1] is False and engine.put(1, 2, "x", "1")["applied_seq"] == 2
     engine.close()
+
+
+def test_limits_are_those_of_one_request_at_a_time(spark, tmp_path):
+    """Batches under tight limits, with retries and deletes, against a fold."""
+    rng, most_clients, most_keys = random.Random(5), 3, 3
+    engine = Engine(spark, str(tmp_path / "db"), StorageSettings(max_sessions=most_clients, max_keys=most_keys))
+    last, kv, pos, seen = {}, {}, 0, set()
+    for _ in range(4):
+        rows, want = [], {}
+        for _ in range(25):
+            pos += 1
+            client = rng.randrange(1, 6)
+            high, own = last.get(client, (0, None))
+            request, kind, key = max(1, high + rng.choice([1, 1, 1, 1, 0, 2])), rng.choice([1, 1, 1, 2]), f"k{rng.randrange(6)}"
+            value = f"v{rng.randrange(3)}" if kind == 1 else None
+            rows.append((pos, client, request, kind, key, value))
+            if request == high + 1:
+                if not high and len(last) >= most_clients or kind == 1 and key not in kv and len(kv) >= most_keys:
+                    want[pos] = "RESOURCE_EXHAUSTED"
+                else:
+                    want[pos], last[client] = "OK", (request, (kind, key, value))
+                    kv.pop(key, None) if kind == 2 else kv.update({key: value})
+            elif not high or request > high:
+                want[pos] = "SEQUENCE_GAP"
+            elif request < high:
+                want[pos] = "DUPLICATE_RESULT_EXPIRED"
+            else:
+                want[pos] = "OK" if own == (kind, key, value) else "REQUEST_ID_REUSE"
+        assert {r["pos"]: r["code"] for r in engine.apply(spark.createDataFrame(rows, DELIVERY_SCHEMA)).collect()} == want
+        assert {r["key"]: r["value"] for r in engine.kv().collect()} == kv
+        seen |= set(want.values())
+    assert {"OK", "RESOURCE_EXHAUSTED", "SEQUENCE_GAP"} <= seen
+    engine.close()
+
+
+def test_a_refused_client_may_only_begin_at_one_and_a_delete_makes_room(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), StorageSettings(max_sessions=1, max_keys=1))
+    engine.put(1, 1, "a", "x")
+    batch = [(1, 2, 1, 1, "a", ""), (2, 2, 2, 1, "a", ""), (3, 2, 9, 1, "a", ""), (4, 2, 1, 1, "a", ""), (5, 1, 2, 2, "a", None), (6, 1, 3, 1, "b", "")]
+    got = [r["code"] for r in engine.apply(spark.createDataFrame(batch, DELIVERY_SCHEMA)).orderBy("pos").collect()]
+    assert got == ["RESOURCE_EXHAUSTED", "SEQUENCE_GAP", "SEQUENCE_GAP", "RESOURCE_EXHAUSTED", "OK", "OK"]
+    assert code(engine.put, 1, 4, "c", "") == "RESOURCE_EXHAUSTED" and engine.put(1, 4, "b", "z")["existed"]
+    engine.close()
