@@ -143,7 +143,7 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n_tokens, md5(coalesce(text, '')) AS tie FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens, md5(coalesce(text, '')) AS tie FROM documents
 ), s AS (
   SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source
 ), h AS (

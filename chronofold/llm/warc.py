@@ -13,7 +13,8 @@ index are read: a lost executor's half-written bundle is never seen.
 Defined results: null html is an empty payload; a null url is written as
 ``urn:page:<id>``; rows that share the smallest page_id of a payload are all
 responses; null page_ids come after all others, and a payload known only under
-null ids has responses alone; other columns are ignored; an empty table gives no
+null ids has responses alone; rows with equal page_id and html are one record
+written more than once, under one identifier, and ``read_record`` gives the first; other columns are ignored; an empty table gives no
 bundle and no rows.
 """
 

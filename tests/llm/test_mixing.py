@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import duckdb
 import pytest
 from chronofold.llm import mixing
 
@@ -74,3 +75,13 @@ def test_edge_rows(spark, edge, empty):
 
 def test_the_plan_has_no_python(spark, edge):
     assert "Python" not in (plan := mixing.mix(edge)._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
+
+
+def test_white_space_of_any_kind_parts_words_in_query_and_sql(spark, tmp_path):
+    rows = [(i, t, "en", s, 1) for i, (t, s) in enumerate([("a\vb\fc\rd", "x"), ("a b", "x"), ("e\tf\ng h", "y"), ("", "y"), (None, "y"), ("i\r\nj", "z"), ("\x1f", "z")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[0] for r in docs.select(mixing.token_count(docs["text"])).collect()] == [4, 1, 4, 0, 0, 2, 1]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(spark, mixing.op5_temperature_mixing, str(tmp_path)) == rows_of_sql(con, mixing.OP5_SQL)
