@@ -8,9 +8,14 @@ scores all codes by lookup tables of its inner products with the words; the best
 ``shortlist`` are reranked exactly, in double precision, on the original vectors.
 
 Codes travel in blocks: blocks of queries meet blocks of candidates through an
-equi-join on the query block, each pair gives one row for each query, and a
-query keeps ``shortlist`` candidates between blocks.  No task holds more than one
-block pair, and nothing that grows with the data is broadcast.
+equi-join on the query block, and the task of a query block keeps ``shortlist``
+candidates of each query from block to block, so what it passes on does not grow
+with the candidates.  No task holds more than one block pair, and nothing that
+grows with the data is broadcast.  Original vectors keep their own type on the way.
+
+The shortlist grows with the table (``shortlist_for``): among more candidates the
+true nearest lie closer together than the codes tell apart.  A ``shortlist`` of as
+many as there are candidates makes the search exact.
 
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components take no part, nor do rows with null vec_id or of another
@@ -21,6 +26,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,11 +38,22 @@ from ._common import materialise, table
 #: Vectors that the codebooks are fitted on, at most, by the order of a hash.
 SAMPLE_ROWS = 8192
 BOOKS, WORDS, BEAM = 40, 32, 4
-#: Candidates of each query that are reranked exactly.
-SHORTLIST = 300
+#: Candidates of each query that are reranked exactly, at least; and the table's rows and k for which that suffices.
+SHORTLIST, SUFFICES_AT, SUFFICES_FOR = 300, 50_000, 20
 CANDIDATE_BLOCK, QUERY_BLOCK, LEAST_QUERY_BLOCKS = 65_536, 4096, 24
 
 
+def shortlist_for(candidates: int, k: int) -> int:
+    """Candidates to rerank among so many.
+
+    Scores thin out like a normal distribution's tail, in which the k-th of n lies
+    about sqrt(2 ln(n / k)) deviations out; the candidates within the codes' error
+    below it, over k, grow as a power that is in proportion to that.
+    """
+    deep = math.sqrt(math.log(max(candidates / k, 2)) / math.log(SUFFICES_AT / SUFFICES_FOR))
+    return max(SHORTLIST, math.ceil(k * (SHORTLIST / SUFFICES_FOR) ** deep))
+
+
 class Quantiser:
     """``books`` codebooks of ``words`` vectors each."""
 
@@ -135,7 +153,8 @@ class Quantiser:
 def usable(rows: DataFrame) -> DataFrame:
     """row, vec_id and embedding (array of float) of the vectors that take part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    own = rows.schema["embedding"].dataType.elementType.simpleString()
+    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if own == "float" else "array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
     most = found.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if most is None:
         return found.withColumn("row", F.lit(0).cast("long"))
@@ -160,7 +179,7 @@ def _packed(rows: DataFrame, name: str, blocks: int, schema: str, pack) -> DataF
     return rows.repartition(blocks).mapInArrow(run, f"{name} long, {schema}")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int = SHORTLIST, metric: str = "ip") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int | None = None, metric: str = "ip") -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row that ``is_query`` (a test of vec_id) picks.
 
     ``metric``: "ip" (largest inner product), "l2" (score: negative squared distance) or "cosine".
@@ -175,6 +194,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int = SHORTLIST
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], schema)
+    shortlist = shortlist or shortlist_for(total, k)
     sample = rows.select("embedding", F.xxhash64("vec_id", "row").alias("h"), "row").orderBy("h", "row").limit(SAMPLE_ROWS).select("embedding").toArrow()
     model = Quantiser.fit(_matrix(sample.column(0).combine_chunks()))
     held = spark.sparkContext.broadcast(model)  # books x words vectors, whatever the data
@@ -206,17 +226,32 @@ def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int = SHORTLIST
     def score(batches):
         model = held.value
         kind = np.uint8 if model.books.shape[1] <= 256 else np.uint16
+        block, near = None, {}  # the best so far of each query of the block at hand
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda n, i=i, batch=batch: batch.column(n)[i].as_py()
+                if get("query_block") != block:
+                    yield from told(near)
+                    block, near = get("query_block"), {}
                 own, ids = np.frombuffer(get("asked"), np.int64), np.frombuffer(get("ids"), np.int64)
                 q = np.frombuffer(get("queries"), np.float64).reshape(len(own), -1)
                 c = np.frombuffer(get("codes"), kind).reshape(len(ids), -1)
                 norms = np.frombuffer(get("norms"), np.float64)
-                out = [(own[j], ids[p].tolist(), s.tolist()) for j, p, s in model.best(q, own, c, norms, ids, shortlist, metric)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float32()))], names=["asked_row", "near", "guess"])
-
-    partial = pairs.select("asked", "queries", "ids", "codes", "norms").mapInArrow(score, "asked_row long, near array<long>, guess array<float>")
+                for j, p, s in model.best(q, own, c, norms, ids, shortlist, metric):
+                    found = ids[p]
+                    if own[j] in near:
+                        found, s = np.concatenate([near[own[j]][0], found]), np.concatenate([near[own[j]][1], s])
+                        keep = np.lexsort((found, -s))[:shortlist]
+                        found, s = found[keep], s[keep]
+                    near[own[j]] = (found, s)
+        yield from told(near)
+
+    def told(near):
+        if near:
+            lists = list(near.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.int64()), pa.array([x[0] for x in lists], pa.list_(pa.int64())), pa.array([x[1] for x in lists], pa.list_(pa.float32()))], names=["asked_row", "near", "guess"])
+
+    partial = pairs.select("query_block", "asked", "queries", "ids", "codes", "norms").mapInArrow(score, "asked_row long, near array<long>, guess array<float>")
     zipped = F.flatten(F.collect_list(F.transform(F.arrays_zip("guess", "near"), lambda x: F.struct((-x["guess"]).alias("g"), x["near"].alias("n")))))
     merged = materialise(partial.groupBy("asked_row").agg(F.slice(F.sort_array(zipped), 1, shortlist).alias("short")), "shortlists")
     short = merged.select("asked_row", F.explode(F.transform("short", lambda x: x["n"])).alias("near_row"))
@@ -224,10 +259,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int = SHORTLIST
     # exact reranking on the original vectors
     near = rows.select(F.col("row").alias("near_row"), "vec_id", F.col("embedding").alias("near_vector"))
     asker = queries.select(F.col("row").alias("asked_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked_vector"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    double = lambda f: lambda x, y: f(x.cast("double"), y.cast("double"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, double(lambda x, y: x * y)), F.lit(0.0), lambda t, x: t + x)
     exact = {
         "ip": dot("asked_vector", "near_vector"),
-        "l2": -F.aggregate(F.zip_with("asked_vector", "near_vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x),
+        "l2": -F.aggregate(F.zip_with("asked_vector", "near_vector", double(lambda x, y: (x - y) * (x - y))), F.lit(0.0), lambda t, x: t + x),
         "cosine": dot("asked_vector", "near_vector") / F.sqrt(dot("asked_vector", "asked_vector") * dot("near_vector", "near_vector")),
     }[metric]
     joined = short.join(near, "near_row").join(asker, "asked_row").select("asked_row", "query_id", "vec_id", "near_row", exact.alias("score"))

@@ -46,6 +46,30 @@ def test_blocks_of_either_side_change_nothing(spark, monkeypatch):
     assert run() == whole
 
 
+def test_registered_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF_TINY}/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in ann.op4_additive_ann(spark, SF_TINY).collect():
+        assert r.asDict().keys() == {"query_id", "rank", "vec_id", "score"}
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        want, found = brute(x, ids, i, 20, "ip"), sorted(got[ids[i]])
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        exact = dict(brute(x, ids, i, len(ids), "ip"))
+        assert all(abs(exact[v] - s) < 1e-12 for _, v, s in found) and [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        hits += len({v for v, _ in want} & {v for _, v, _ in found})
+    assert hits >= 0.99 * 20 * len(got)
+
+
+def test_the_shortlist_grows_with_the_table():
+    sizes = [ann.shortlist_for(n, 20) for n in (10, 1000, 50_000, 10**6, 10**9)]
+    assert sizes[:3] == [300, 300, 300] and 300 < sizes[3] < sizes[4] < 5000
+    assert ann.shortlist_for(50_000, 100) > 300
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.0, 0.0]), (9, []), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (2, [1.0, 1.0])]
