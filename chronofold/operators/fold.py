@@ -11,6 +11,8 @@ from chronofold.sources.changelog import cmd_log, sql
 
 #: Live keys of a state digest, at most: the digest is one hash over all of them, in order.
 DIGEST_KEYS = 1_000_000
+#: Sequence numbers of a key's commands that one window holds.
+BLOCK_COMMANDS = 1 << 20
 
 
 def latest_state(commands: DataFrame) -> DataFrame:
@@ -30,9 +32,20 @@ def point_reads(commands: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def with_existed(commands: DataFrame) -> DataFrame:
-    """PUT finds its key always, DELETE only where it was live."""
-    before = F.lag("kind").over(Window.partitionBy("key").orderBy("global_seq"))
-    return commands.withColumn("existed", F.when(F.col("kind") == PUT, True).otherwise(F.coalesce(before == PUT, F.lit(False))))
+    """PUT finds its key always, DELETE only where it was live.
+
+    A key's commands are put in line in blocks of ``BLOCK_COMMANDS`` sequence
+    numbers, so that a hot key is many windows; the command before a block's first
+    one comes from a row for each key and block.
+    """
+    block = F.expr(f"global_seq div {BLOCK_COMMANDS}")
+    inside = F.lag("kind").over(Window.partitionBy("key", "e_block").orderBy("global_seq"))
+    last = commands.groupBy(F.col("key").alias("e_key"), block.alias("e_of")).agg(F.max_by("kind", "global_seq").alias("e_last"))
+    earlier = last.select("e_key", "e_of", F.lag("e_last").over(Window.partitionBy("e_key").orderBy("e_of")).alias("e_before"))
+    rows = commands.withColumn("e_block", block).withColumn("e_inside", inside)
+    rows = rows.join(earlier, (F.col("key") == F.col("e_key")) & (F.col("e_block") == F.col("e_of")), "left")
+    found = F.coalesce(F.coalesce("e_inside", "e_before") == PUT, F.lit(False))
+    return rows.withColumn("existed", F.when(F.col("kind") == PUT, True).otherwise(found)).drop("e_block", "e_inside", "e_key", "e_of", "e_before")
 
 
 def apply_results(commands: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from chronofold.operators.consensus import _MATCH, commit_index, matches
 from chronofold.sources.changelog import msg_log, replica_log, sql
 
+#: Steps of a sender that one window of ``sendable`` holds.
+BLOCK_STEPS = 1 << 16
+
 
 def applied_agree(log: DataFrame, commits: DataFrame) -> DataFrame:
     """At each committed index all nodes that hold it hold one command."""
@@ -49,11 +52,16 @@ def append_only(before: DataFrame, after: DataFrame) -> DataFrame:
 def sendable(messages: DataFrame, durable: DataFrame) -> DataFrame:
     """Messages whose term exceeds what their sender had durably stored by then (durable: step, src, durable_term).
 
-    An as-of join by one window per sender over both kinds of rows.
+    An as-of join over both kinds of rows by windows of a sender's ``BLOCK_STEPS``
+    steps; what holds at a block's begin comes from a row per block.
     """
     rows = messages.select("step", "src", F.lit(1).alias("kind"), "term", F.lit(None).cast("long").alias("durable_term")).unionByName(durable.select("step", "src", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("term"), "durable_term"))
-    known = F.last("durable_term", ignorenulls=True).over(Window.partitionBy("src").orderBy("step", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("src", "kind", "term", known.alias("known")).where("kind = 1")
+    rows = rows.withColumn("block", F.expr(f"step div {BLOCK_STEPS}"))
+    blocks = rows.groupBy("src", "block").agg(F.max_by("durable_term", F.when(F.col("kind") == 0, F.col("step"))).alias("last_term"))
+    carried = F.last("last_term", ignorenulls=True).over(Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last("durable_term", ignorenulls=True).over(Window.partitionBy("src", "block").orderBy("step", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("src", "block", "kind", "term", inside.alias("inside")).join(blocks.select("src", "block", carried.alias("carried")), ["src", "block"])
+    rows = rows.select("src", "kind", "term", F.coalesce("inside", "carried").alias("known")).where("kind = 1")
     return rows.groupBy("src").agg(F.count("*").alias("checked"), F.count_if(F.col("term") > F.coalesce("known", F.lit(0))).alias("violations"))
 
 
@@ -72,8 +80,18 @@ def _durable(s, d):
     return m.select("step", F.explode(F.array(*(F.lit(i) for i in (1, 2, 3)))).alias("src"), F.col("term").alias("durable_term"))
 
 
-def _committed(s, d):
-    return _node(s, d, 1).join(_commits(s, d).select("g", "commit_idx"), "g").where("idx <= commit_idx").drop("commit_idx")
+def _earlier_leader(s, d):
+    """The leader's log when it was half as long; every seventh group's then ended in an entry that it changed since."""
+    own = _node(s, d, 1)
+    half = own.groupBy("g").agg(F.expr("max(idx) div 2").alias("half"))
+    changed = ((F.col("g") % 7 == 0) & (F.col("idx") == F.col("half"))).cast("long")
+    return own.join(half, "g").where("idx <= half").select("g", "node", "idx", (F.col("term") + changed).alias("term"), "data")
+
+
+def _committed_then_and_now(s, d):
+    """Node 2's committed entries, and its log later on; every eleventh group's lost the last of them."""
+    own = _node(s, d, 2).join(_commits(s, d).select("g", "commit_idx"), "g")
+    return own.where("idx <= commit_idx"), own.where("NOT (g % 11 = 0 AND idx = commit_idx)")
 
 
 QUERIES = {
@@ -81,8 +99,8 @@ QUERIES = {
     "inv_log_matching": lambda s, d: log_matching(replica_log(s, d)),
     "inv_election_safety": lambda s, d: election_safety(msg_log(s, d).where("type = 'Append'")),
     "inv_leader_completeness": lambda s, d: leader_completeness(replica_log(s, d), _commits(s, d), leader=2),
-    "inv_leader_append_only": lambda s, d: append_only(_node(s, d, 1), _node(s, d, 3)),
-    "inv_committed_stable": lambda s, d: append_only(_committed(s, d), _node(s, d, 2)),
+    "inv_leader_append_only": lambda s, d: append_only(_earlier_leader(s, d), _node(s, d, 1)),
+    "inv_committed_stable": lambda s, d: append_only(*_committed_then_and_now(s, d)),
     "inv_sendable": lambda s, d: sendable(msg_log(s, d), _durable(s, d)),
 }
 
@@ -96,8 +114,11 @@ ORACLE_SQL = {
     "inv_election_safety": sql(" SELECT g, term, CAST(count(DISTINCT src) > 1 AS BIGINT) AS violations, count(*) AS checked FROM msg_log WHERE type = 'Append' GROUP BY g, term", "msg_log"),
     "inv_leader_completeness": sql(_MATCH + """ SELECT b.g, count(*) AS checked, count(*) FILTER (WHERE a.idx IS NULL) AS violations FROM replica_log b JOIN ci USING (g) LEFT JOIN replica_log a ON a.g = b.g AND a.idx = b.idx AND a.term = b.term AND a.node = 2
       WHERE b.node = 1 AND b.idx <= commit_idx GROUP BY b.g""", "replica_log"),
-    "inv_leader_append_only": sql(f" {_PAIR} FROM replica_log b LEFT JOIN replica_log a ON a.g = b.g AND a.idx = b.idx AND a.node = 3 WHERE b.node = 1 GROUP BY b.g", "replica_log"),
-    "inv_committed_stable": sql(_MATCH + f" {_PAIR} FROM replica_log b JOIN ci USING (g) LEFT JOIN replica_log a ON a.g = b.g AND a.idx = b.idx AND a.node = 2 WHERE b.node = 1 AND b.idx <= commit_idx GROUP BY b.g", "replica_log"),
+    "inv_leader_append_only": sql(f""", half AS (SELECT g, max(idx) // 2 AS half FROM replica_log WHERE node = 1 GROUP BY g
+      ), then_ AS (SELECT g, idx, term + CASE WHEN g % 7 = 0 AND idx = half THEN 1 ELSE 0 END AS term, data FROM replica_log JOIN half USING (g) WHERE node = 1 AND idx <= half)
+      {_PAIR} FROM then_ b LEFT JOIN replica_log a ON a.g = b.g AND a.idx = b.idx AND a.node = 1 GROUP BY b.g""", "replica_log"),
+    "inv_committed_stable": sql(_MATCH + f""" {_PAIR} FROM replica_log b JOIN ci USING (g) LEFT JOIN replica_log a ON a.g = b.g AND a.idx = b.idx AND a.node = 2 AND NOT (a.g % 11 = 0 AND a.idx = commit_idx)
+      WHERE b.node = 2 AND b.idx <= commit_idx GROUP BY b.g""", "replica_log"),
     "inv_sendable": sql(""", dur AS (SELECT m.step, s.src, m.term AS durable_term FROM msg_log m, (SELECT unnest([1, 2, 3]) AS src) s WHERE m.step % 40 = 0)
       SELECT m.src, count(*) AS checked, count(*) FILTER (WHERE m.term > coalesce(d.durable_term, 0)) AS violations FROM msg_log m ASOF LEFT JOIN dur d ON d.src = m.src AND d.step <= m.step GROUP BY m.src""", "msg_log"),
 }

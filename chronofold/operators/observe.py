@@ -9,6 +9,9 @@ from chronofold import model
 from chronofold.operators.replog import bounds, entry_bytes
 from chronofold.sources.changelog import events, msg_log, replica_log, sql, trace_span
 
+#: Classes of a duration for each doubling.
+CLASSES = 64
+
 
 def message_counters(messages: DataFrame) -> DataFrame:
     """Per sender: messages in all, rejections, and a map of counts by type."""
@@ -28,13 +31,20 @@ def follower_lag(matched: DataFrame, leader: DataFrame) -> DataFrame:
 def percentiles(spans: DataFrame, of: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Per span the value at place floor((n - 1) * p) of its sorted durations.
 
-    Durations are counted by value first, so that only distinct values are put in line.
+    Durations are counted by value, and values by class of size.  Only a span's
+    classes (some thousand at most) are put in line, and the values of those few
+    classes that hold a wanted place.
     """
-    counted = spans.groupBy("span", "duration_ns").agg(F.count("*").alias("n"))
-    line, whole = Window.partitionBy("span").orderBy("duration_ns"), Window.partitionBy("span")
-    placed = counted.select("span", "duration_ns", F.sum("n").over(line).alias("upto"), F.sum("n").over(whole).alias("all"))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("all") - 1) * F.lit(p)), F.col("duration_ns")))
-    return placed.groupBy("span").agg(F.max("all").alias("n"), *(at(p).alias(f"p{round(100 * p)}") for p in of))
+    counted = spans.groupBy("span", "duration_ns").agg(F.count("*").alias("n")).withColumn("class", F.floor(F.log2(F.col("duration_ns") + 1) * CLASSES))
+    by_class = counted.groupBy("span", "class").agg(F.sum("n").alias("held"))
+    line, whole = Window.partitionBy("span").orderBy("class"), Window.partitionBy("span")
+    by_class = by_class.select("span", "class", (F.sum("held").over(line) - F.col("held")).alias("before"), "held", F.sum("held").over(whole).alias("all"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor((F.col("all") - 1) * F.lit(p)).alias("place")) for i, p in enumerate(of))))
+    wanted = by_class.select("span", "class", "before", "held", "all", wanted.alias("w")).where("w.place >= before AND w.place < before + held")
+    inside = Window.partitionBy("span", "i").orderBy("duration_ns")
+    placed = counted.join(wanted.select("span", "class", "all", F.col("w.i").alias("i"), (F.col("w.place") - F.col("before")).alias("place")), ["span", "class"])
+    placed = placed.withColumn("upto", F.sum("n").over(inside)).where("upto > place")
+    return placed.groupBy("span").agg(F.max("all").alias("n"), *(F.min(F.when(F.col("i") == i, F.col("duration_ns"))).alias(f"p{round(100 * p)}") for i, p in enumerate(of)))
 
 
 def span_means(spans: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronofold.cluster import ship
 from chronofold.model import ConsensusSettings
+from chronofold.operators.invariants import log_matching
 
 SCHEDULE_SCHEMA = "seed long, nodes int, drop_rate double, dup_rate double, max_delay int, steps int"
 TRACE_SCHEMA = "seed long, tick int, node int, kind string, term long, idx long, data string, detail string"
@@ -212,6 +213,7 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
     faults = random.Random(seed * 7 + 3)
     wires: list[tuple[int, int, dict]] = []
     blocked: set[tuple[int, int]] = set()
+    led: dict[int, int] = {}  # the term that a node led when it last stored, 0 for none
     trace, count, given = [], 0, 0
 
     def settle(n: int, tick: int) -> None:
@@ -232,6 +234,9 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
         if crashes("before_hard_state"):
             return
         disk.store_hard_state(m)
+        if m.role == "Leader" and led.get(n) == m.term and m.log[: len(disk.log)] != disk.log:
+            trace.append((seed, tick, n, "rewritten", m.term, len(disk.log), "", ""))
+        led[n] = m.term if m.role == "Leader" else 0
         if crashes("after_hard_state"):
             return
         disk.store_entries(m)
@@ -241,6 +246,8 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
         if crashes("before_send"):
             return
         trace.extend((seed, tick, n, *x) for x in seen if x[0] != "committed")
+        for won in (x[1] for x in seen if x[0] == "election_won"):  # what the new leader of that term holds
+            trace.extend((seed, tick, n, "held", term, i, data, str(won)) for i, (term, data) in enumerate(m.log, 1))
         for x in out:
             faulty = tick < steps
             for _ in range(2 if faulty and rng.random() < dup else 1):
@@ -267,6 +274,7 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
             del down[n]
             era += 1
             disk = durable[n]
+            led[n] = 0
             members[n] = new(n, era, term=disk.term, vote=disk.vote, log=disk.log)
             trace.append((seed, tick, n, "restarted", disk.term, 0, "", ""))
         due = sorted((w for w in wires if w[0] <= tick), key=lambda w: (w[0], w[1]))
@@ -286,6 +294,7 @@ def simulate(seed: int, nodes: int, drop: float, dup: float, delay: int, steps:
                 settle(n, tick)
     for n in peers:
         trace.append((seed, steps + quiet, n, "end", members[n].term, members[n].commit, "", members[n].role))
+        trace.extend((seed, steps + quiet, n, "final", term, i, data, "") for i, (term, data) in enumerate(members[n].log, 1))
     return trace
 
 
@@ -317,8 +326,19 @@ def check_traces(trace: DataFrame) -> DataFrame:
     applied = trace.where("kind = 'committed'").groupBy("seed", "idx").agg((F.min(entry) != F.max(entry)).alias("bad"))
     agreed = applied.groupBy("seed").agg(F.count_if("bad").alias("disagreements"), F.count("*").alias("committed"))
     unsent = trace.groupBy("seed").agg(F.count_if(F.col("kind") == "unsendable").alias("unsendable"), F.xxhash64(F.sort_array(F.collect_list(F.struct("tick", "node", "kind", "term", "idx", "data", "detail")))).alias("fingerprint"))
+    rewrites = trace.groupBy("seed").agg(F.count_if(F.col("kind") == "rewritten").alias("leader_rewrites"))
+    # an entry committed in a term is in the log of every leader of a later one
+    committed = trace.where("kind = 'committed'").groupBy("seed", "idx").agg(F.min("term").alias("by_term"), F.min("detail").cast("long").alias("entry_term"))
+    wins = trace.where("kind = 'election_won'").select("seed", F.col("term").alias("won")).distinct()
+    due = committed.join(wins, "seed").where("won > by_term").select("seed", "won", "idx", "entry_term")
+    held = trace.where("kind = 'held'").select("seed", F.col("detail").cast("long").alias("won"), "idx", F.col("term").alias("entry_term")).distinct()
+    lacking = due.join(held, ["seed", "won", "idx", "entry_term"], "left_anti").groupBy("seed").agg(F.count("*").alias("incomplete_leaders"))
+    logs = trace.where("kind = 'final'").select(F.col("seed").alias("g"), "node", "idx", "term", "data")
+    unmatched = log_matching(logs).groupBy(F.col("g").alias("seed")).agg(F.sum("violations").alias("unmatched_logs"))
     ends = trace.where("kind = 'end'").groupBy("seed").agg((F.min("idx") == F.max("idx")).alias("converged"))
-    return unsent.join(leaders, "seed", "left").join(agreed, "seed", "left").join(ends, "seed", "left")
+    found = unsent.join(leaders, "seed", "left").join(agreed, "seed", "left").join(ends, "seed", "left")
+    found = found.join(rewrites, "seed", "left").join(lacking, "seed", "left").join(unmatched, "seed", "left")
+    return found.fillna(0, ["incomplete_leaders", "unmatched_logs"])
 
 
 QUERIES = {"sim_schedules": lambda s, d: check_traces(run_schedules(random_schedules(s, 500)))}
