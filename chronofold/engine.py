@@ -38,7 +38,7 @@ class Engine:
         self.queue: list[tuple] = []
         self.tickets = 0
         self.counters = dict.fromkeys(("gets", "puts", "deletes", "dup_hits", "rejections", "storage_failures"), 0)
-        self.state = "Recovering"
+        self.state, self.snapshotting, self.replayed = "Recovering", False, 0
         os.makedirs(directory, exist_ok=True)
         self.lock = open(os.path.join(directory, "LOCK"), "w")  # noqa: SIM115
         try:
@@ -55,6 +55,7 @@ class Engine:
             self.lock.close()
             raise
         self.state = SERVING
+        self.replayed = self.applied - max((x["seq"] for x in self.manifest["snapshots"]), default=0)  # commands that a read takes from the log
         self.emit("engine.recovery.complete", sequence=self.applied)
 
     # -- manifest ------------------------------------------------------------
@@ -276,6 +277,7 @@ class Engine:
         name = f"snapshot-{at:020d}"
         root = os.path.join(self.dir, "snapshots", name)
         kv, sessions = self.kv(), self.sessions()
+        self.snapshotting = True
         try:
             kv.write.mode("overwrite").parquet(os.path.join(root, "kv"))
             sessions.write.mode("overwrite").parquet(os.path.join(root, "sessions"))
@@ -289,6 +291,8 @@ class Engine:
             self.emit("snapshot.failed", sequence=at)
             trace.abandon(model.code_of(e))
             raise  # nothing was published: go on serving
+        finally:
+            self.snapshotting = False
         self._publish({**self.manifest, "snapshots": [*self.manifest["snapshots"], {"name": name, "seq": at}]})
         self.emit("snapshot.published", sequence=at)
         trace.span("snapshot_rename")
@@ -311,7 +315,14 @@ class Engine:
         return gone
 
     def stats(self) -> dict:
-        return {"state": self.state, "applied_seq": self.applied, "batches": len(self.manifest["batches"]), "snapshots": len(self.manifest["snapshots"]), "live_keys": self.kv().count(), "sessions": self.sessions().count(), **self.counters}
+        """Also after a fault or close; a snapshot is synchronous, so none is active between calls, and no tail of a file is ever cut."""
+        newest = max((x["seq"] for x in self.manifest["snapshots"]), default=0)
+        return {
+            "state": self.state, "applied_seq": self.applied, "batches": len(self.manifest["batches"]), "snapshots": len(self.manifest["snapshots"]),
+            "live_keys": self.kv().count(), "sessions": self.sessions().count(), "session_capacity": self.settings.max_sessions,
+            "queue_depth": len(self.queue), "queue_capacity": self.settings.queue_capacity, "last_snapshot_seq": newest, "snapshot_active": self.snapshotting,
+            "replayed": self.replayed, "truncated_bytes": 0, **self.counters,
+        }
 
     def close(self) -> None:
         """Again and again does no harm."""

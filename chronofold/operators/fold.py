@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.cluster import materialise, ship
 from chronofold.functions import codec
 from chronofold.model import PUT
 from chronofold.sources.changelog import cmd_log, sql
 
-#: Live keys of a state digest, at most: the digest is one hash over all of them, in order.
-DIGEST_KEYS = 1_000_000
 #: Sequence numbers of a key's commands that one window holds.
 BLOCK_COMMANDS = 1 << 20
 
@@ -76,19 +78,33 @@ def replay_violations(commands: DataFrame) -> DataFrame:
 def state_digest(commands: DataFrame, spec: codec.FormatSpec = codec.FormatSpec()) -> DataFrame:
     """One hash over applied sequence, live keys in byte order and sessions in client order.
 
-    The hash is over one concatenation, so it fails rather than build one for more
-    than ``DIGEST_KEYS`` keys.
+    One hash reads all in order, so one task sorts the encoded rows (spilling) and
+    streams them; it holds the hash's state alone, whatever the number of keys.  An
+    empty log has no digest: no row.
     """
+    ship(commands.sparkSession)
     u64 = codec.le_u64_hex
     text = lambda c: F.concat(u64(F.octet_length(c)), F.hex(F.encode(c, "utf-8")))
-    kv = latest_state(commands).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.encode("key", "utf-8").alias("k"), F.concat(text(F.col("key")), text(F.col("value"))).alias("h")))).alias("rows"))
-    sessions = session_table(commands).agg(F.count("*").alias("sn"), F.sort_array(F.collect_list(F.struct(codec.client_hex(F.col("client")).alias("k"), codec.session_hex().alias("h")))).alias("srows"))
-    top = commands.agg(F.max("global_seq").alias("applied_seq"))
-    joined = F.broadcast(kv).join(F.broadcast(sessions)).join(F.broadcast(top))
-    flat = lambda rows: F.array_join(F.transform(rows, lambda x: x["h"]), "")
-    body = F.concat(F.lit(spec.state_domain.encode().hex().upper()), u64(F.col("applied_seq")), u64(F.col("n")), flat("rows"), u64(F.col("sn")), flat("srows"))
-    checked = F.when(F.col("n") <= DIGEST_KEYS, F.sha2(F.unhex(body), 256)).otherwise(F.raise_error(F.lit("too many keys for one digest")))
-    return joined.select("applied_seq", F.col("n").alias("keys"), F.col("sn").alias("sessions"), checked.alias("digest"))
+    kv = latest_state(commands).select(F.lit(1).alias("part"), F.encode("key", "utf-8").alias("k"), F.concat(text(F.col("key")), text(F.col("value"))).alias("h"))
+    sessions = session_table(commands).select(F.lit(3).alias("part"), F.unhex(codec.client_hex(F.col("client"))).alias("k"), codec.session_hex().alias("h"))
+    top = commands.agg(F.max("global_seq").alias("n")).where("n IS NOT NULL").select(F.lit(0).alias("part"), F.lit(None).cast("binary").alias("k"), F.concat(F.lit(spec.state_domain.encode().hex()), u64(F.col("n"))).alias("h"), "n")
+    body = materialise(kv.unionByName(sessions), "state-rows")
+    counts = body.agg(F.count_if(F.col("part") == 1).alias("n1"), F.count_if(F.col("part") == 3).alias("n3"))
+    heads = counts.select(F.explode(F.array(F.struct(F.lit(1).alias("part"), F.col("n1").alias("n")), F.struct(F.lit(3).alias("part"), F.col("n3").alias("n")))).alias("x"))
+    heads = heads.select("x.part", F.lit(None).cast("binary").alias("k"), u64(F.col("x.n")).alias("h"), F.col("x.n").alias("n"))  # a null key sorts first
+    rows = body.withColumn("n", F.lit(None).cast("long")).unionByName(heads).unionByName(top)
+
+    def run(batches):
+        hashed, told = hashlib.sha256(), {}
+        for batch in batches:
+            for part, h, n in zip(batch.column("part").to_pylist(), batch.column("h").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                hashed.update(bytes.fromhex(h))
+                if n is not None:
+                    told[part] = n
+        if 0 in told:
+            yield pa.RecordBatch.from_pylist([{"applied_seq": told[0], "keys": told[1], "sessions": told[3], "digest": hashed.hexdigest()}])
+
+    return rows.repartition(1).sortWithinPartitions("part", "k").select("part", "h", "n").mapInArrow(run, "applied_seq long, keys long, sessions long, digest string")
 
 
 def _snapshot(commands):

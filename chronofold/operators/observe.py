@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold import model
@@ -47,6 +47,19 @@ def percentiles(spans: DataFrame, of: tuple[float, ...] = (0.5, 0.95, 0.99)) ->
     return placed.groupBy("span").agg(F.max("all").alias("n"), *(F.min(F.when(F.col("i") == i, F.col("duration_ns"))).alias(f"p{round(100 * p)}") for i, p in enumerate(of)))
 
 
+def throughput(rows: DataFrame, name: str, at: str = "ts") -> DataFrame:
+    """Rows of each ``name`` per second, in thousandths, over the time that all rows span."""
+    us = F.unix_micros(at)
+    whole = rows.agg((F.max(us) - F.min(us)).alias("elapsed_us"))
+    counted = rows.groupBy(name).agg(F.count("*").alias("n")).join(F.broadcast(whole))  # one row
+    return counted.select(name, "n", "elapsed_us", F.expr("n * 1000000000 div elapsed_us").alias("per_1000_s"))
+
+
+def message_text() -> Column:
+    """One line for a message: type, sender, receiver, term."""
+    return F.format_string("%s %d->%d term=%d", F.col("type"), F.col("src"), F.col("dst"), F.col("term"))
+
+
 def span_means(spans: DataFrame) -> DataFrame:
     return spans.groupBy("span").agg(F.count("*").alias("n"), F.expr("sum(duration_ns) div count(*)").alias("mean_ns"))
 
@@ -93,6 +106,8 @@ QUERIES = {
     "log_size_metrics": lambda s, d: log_sizes(replica_log(s, d)),
     "follower_lag": lambda s, d: _lag(s, d),
     "latency_percentiles": lambda s, d: percentiles(trace_span(s, d)),
+    "throughput": lambda s, d: throughput(events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "event_type"),
+    "message_text": lambda s, d: msg_log(s, d).select("step", message_text().alias("line")),
     "span_means": lambda s, d: span_means(trace_span(s, d)),
     "trace_span_check": lambda s, d: span_check(trace_span(s, d), _totals(s, d)),
     "engine_event_counts": lambda s, d: event_counts(_engine_events(s, d), "event_name"),
@@ -106,6 +121,9 @@ ORACLE_SQL = {
       FROM replica_log r LEFT JOIN replica_log l ON l.g = r.g AND l.idx = r.idx AND l.node = 1 GROUP BY r.g, r.node""", "replica_log"),
     "latency_percentiles": sql(""", o AS (SELECT span, list(duration_ns ORDER BY duration_ns) AS v FROM trace_span GROUP BY span)
       SELECT span, len(v) AS n, v[CAST(floor((len(v) - 1) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor((len(v) - 1) * 0.99) AS BIGINT) + 1] AS p99 FROM o""", "trace_span"),
+    "throughput": """SELECT event_type, count(*) AS n, (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) AS elapsed_us,
+      (count(*) * 1000000000) // (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) AS per_1000_s FROM events GROUP BY event_type""",
+    "message_text": sql(" SELECT step, type || ' ' || src || '->' || dst || ' term=' || term AS line FROM msg_log", "msg_log"),
     "span_means": sql(" SELECT span, count(*) AS n, (sum(duration_ns) // count(*))::BIGINT AS mean_ns FROM trace_span GROUP BY span", "trace_span"),
     "trace_span_check": sql(" SELECT op, count(*) AS spans, sum(duration_ns)::BIGINT AS span_ns, sum(duration_ns)::BIGINT + CASE WHEN op % 7 = 0 THEN -1 ELSE 10 END AS total_ns, op % 7 <> 0 AS fits FROM trace_span GROUP BY op", "trace_span"),
     "engine_event_counts": "SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_NAMES.items()) + " END AS event_name, count(*) AS n FROM events GROUP BY 1",

@@ -58,6 +58,11 @@ def test_lifecycle_and_damage(spark, tmp_path):
     assert engine.put(1, 1, "a", "")["duplicate"]
     assert engine.get("a") == ("", True, 1) and engine.get("b")[1] is False
     assert code(engine.put, 0, 1, "a", "x") == "INVALID_ARGUMENT"
+    engine.submit(1, 2, 1, "b", "")
+    engine.create_snapshot()
+    stats = engine.stats()
+    want = {"state": "Serving", "applied_seq": 1, "live_keys": 1, "sessions": 1, "queue_depth": 1, "last_snapshot_seq": 1, "snapshot_active": False, "replayed": 0, "truncated_bytes": 0, "gets": 2, "puts": 1, "deletes": 0, "dup_hits": 1, "rejections": 1, "storage_failures": 0}
+    assert want.items() <= stats.items() and stats["session_capacity"] > 0 and stats["queue_capacity"] > 0
     assert code(Engine, spark, folder) == "LOCKED"
     engine.close()
     engine.close()
@@ -65,7 +70,7 @@ def test_lifecycle_and_damage(spark, tmp_path):
     manifest = os.path.join(folder, "MANIFEST")
     with open(manifest) as f:
         held = json.load(f)
-    held["batches"][0]["start"] = 2
+    held["snapshots"], held["batches"] = [], [{"name": "batch-gone", "start": 2, "end": 2}]
     with open(manifest, "w") as f:
         json.dump(held, f)
     assert code(Engine, spark, folder) == "CORRUPTION"
