@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.cluster import ship
+from chronofold.cluster import materialise, ship
 from chronofold.model import ConsensusSettings
 from chronofold.operators.invariants import log_matching
 
@@ -319,7 +319,10 @@ def random_schedules(spark: SparkSession, n: int, first: int = 1) -> DataFrame:
 
 
 def check_traces(trace: DataFrame) -> DataFrame:
-    """One row per schedule: violations of each safety rule, and whether the quiet end brought agreement."""
+    """One row per schedule: violations of each safety rule, and whether the quiet end brought agreement.
+
+    ``trace`` is read once for each rule: give it as a table.
+    """
     won = trace.where("kind = 'election_won'").groupBy("seed", "term").agg((F.min("node") != F.max("node")).alias("bad"))
     leaders = won.groupBy("seed").agg(F.count_if("bad").alias("two_leaders"), F.count("*").alias("terms_won"))
     entry = F.struct("detail", "data")
@@ -341,5 +344,5 @@ def check_traces(trace: DataFrame) -> DataFrame:
     return found.fillna(0, ["incomplete_leaders", "unmatched_logs"])
 
 
-QUERIES = {"sim_schedules": lambda s, d: check_traces(run_schedules(random_schedules(s, 500)))}
+QUERIES = {"sim_schedules": lambda s, d: check_traces(materialise(run_schedules(random_schedules(s, 500)), "traces"))}
 ORACLE_SQL: dict = {}

@@ -11,6 +11,14 @@ of ``documents``.
 4. mixing: sources are repeated to their temperature weights, none dropped;
 5. packing: token sequences of at most 2048.
 
+Defined results: null and empty texts, and those without a letter, are in no
+language and go first; a row without doc_id teaches nothing and is never taken for a
+copy, so it stays among near duplicates; rows that share a doc_id are one document
+and share its fate; of documents that tie the smallest doc_id stays; a null lang
+teaches nothing, a null source is a source of its own; further columns, whatever
+their names, are kept to the last stage but one; an empty table gives no rows.  Very
+long texts are taken whole by every stage.
+
 SQL can't express fitting and applying the language field, SimHash or best-fit
 packing, so ``ORACLE_SQL`` is None and the tests hold ``run`` against a
 brute-force version.
