@@ -49,8 +49,11 @@ class Engine:
         try:
             self.emit("engine.open.start")
             self.manifest = self._load()
+            self._look_around()
             self._check()
-        except BaseException:
+        except BaseException as e:
+            if model.code_of(e) == "CORRUPTION":
+                self.emit("wal.interior.corruption", detail=e.detail)
             self.emit("engine.recovery.failed")
             self.lock.close()
             raise
@@ -70,6 +73,17 @@ class Engine:
         except ValueError as e:
             raise ChangelogError("CORRUPTION", "manifest", e) from e
 
+    def _look_around(self) -> None:
+        """Tell what the directory holds beside what the manifest names: left over from a crash, or not this engine's."""
+        if self.manifest["snapshots"]:
+            self.emit("snapshot.selected", sequence=max(x["seq"] for x in self.manifest["snapshots"]))
+        for name in sorted(os.listdir(self.dir)):
+            if name not in ("LOCK", "MANIFEST", "MANIFEST.tmp", "log", "snapshots"):
+                self.emit("directory.unknown.file", detail=name)
+        own = os.path.join(self.dir, "snapshots")
+        for name in sorted(set(os.listdir(own) if os.path.isdir(own) else ()) - {x["name"] for x in self.manifest["snapshots"]}):
+            self.emit("snapshot.temp.ignored", detail=name)
+
     def _publish(self, manifest: dict) -> None:
         path = os.path.join(self.dir, "MANIFEST")
         with open(path + ".tmp", "w") as f:
@@ -159,6 +173,7 @@ class Engine:
             trace.abandon("STORAGE")
             self.counters["storage_failures"] += 1
             self.state = FAULTED
+            self.emit("storage.failure", code="STORAGE")
             self.emit("engine.faulted")
             raise ChangelogError("STORAGE", "the outcome of the batch is unknown", e) from e
 
@@ -195,7 +210,9 @@ class Engine:
         trace.span("append", n)
         if n:
             batch = {"name": name, "start": self.applied + 1, "end": self.applied + n}
+            self.emit("wal.segment.created", segment=name)
             self._publish({**self.manifest, "batches": [*self.manifest["batches"], batch], "next": self.applied + n + 1})
+            self.emit("wal.segment.sealed", segment=name, count=n)  # a batch is written whole
         trace.span("sync")
         # a duplicate's result is that of the accepted request it repeats
         first = self.sessions_by_request(written, held)
@@ -208,6 +225,9 @@ class Engine:
         told = results.agg(F.count_if("duplicate").alias("d"), F.count_if(F.col("code") != "OK").alias("r")).first()
         for counter, n in (("puts", by_kind.get(1, 0)), ("deletes", by_kind.get(2, 0)), ("dup_hits", told["d"]), ("rejections", told["r"])):
             self.counters[counter] += n
+        for event, n in (("session.dedup.hit", told["d"]), ("session.rejected", told["r"])):
+            if n:
+                self.emit(event, count=n)
         trace.span("respond")
         return results
 

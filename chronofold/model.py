@@ -25,6 +25,14 @@ CERTAINTY = {
     "CLOSED": "refused", "LOCKED": "refused", "SNAPSHOT_IN_PROGRESS": "refused", "CORRUPTION": "refused",
 }
 
+# Names of engine events.
+EVENT_NAMES = (
+    "engine.open.start", "engine.recovery.complete", "engine.recovery.failed", "snapshot.selected", "snapshot.temp.ignored", "snapshot.start",
+    "snapshot.published", "snapshot.failed", "wal.segment.created", "wal.segment.sealed", "wal.segment.deleted", "wal.tail.truncated",
+    "wal.interior.corruption", "storage.failure", "engine.faulted", "session.rejected", "session.dedup.hit", "engine.close.start",
+    "engine.close.complete", "engine.close.deadline", "directory.unknown.file",
+)
+
 PUT, DELETE = 1, 2
 COMMAND_FIXED_BYTES, SESSION_BYTES = 30, 66
 SEGMENT_HEADER_BYTES, FRAME_HEADER_BYTES, SNAPSHOT_HEADER_BYTES = 32, 24, 44

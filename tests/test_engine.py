@@ -4,7 +4,7 @@ import random
 
 import pytest
 from chronofold.engine import Engine
-from chronofold.model import DELIVERY_SCHEMA, ChangelogError, StorageSettings
+from chronofold.model import DELIVERY_SCHEMA, EVENT_NAMES, ChangelogError, StorageSettings
 from chronofold.trace import TRACE_SCHEMA
 
 
@@ -51,8 +51,8 @@ def test_a_model_over_batches_snapshots_and_restarts(spark, tmp_path):
 
 
 def test_lifecycle_and_damage(spark, tmp_path):
-    folder = str(tmp_path / "db")
-    engine = Engine(spark, folder)
+    folder, events = str(tmp_path / "db"), []
+    engine = Engine(spark, folder, on_event=lambda name, **x: events.append(name))
     assert engine.create_snapshot() is None
     assert engine.put(1, 1, "a", "") == {"applied_seq": 1, "existed": True, "duplicate": False}
     assert engine.put(1, 1, "a", "")["duplicate"]
@@ -67,13 +67,21 @@ def test_lifecycle_and_damage(spark, tmp_path):
     engine.close()
     engine.close()
     assert code(engine.get, "a") == "CLOSED"
+    assert events == [
+        "engine.open.start", "engine.recovery.complete", "wal.segment.created", "wal.segment.sealed", "session.dedup.hit", "session.rejected",
+        "snapshot.start", "snapshot.published", "wal.segment.deleted", "engine.close.start", "engine.close.complete",
+    ] and set(events) <= set(EVENT_NAMES)
+    events.clear()
+    with open(os.path.join(folder, "notes.txt"), "w"):
+        os.makedirs(os.path.join(folder, "snapshots", "snapshot-unpublished"))
     manifest = os.path.join(folder, "MANIFEST")
     with open(manifest) as f:
         held = json.load(f)
     held["snapshots"], held["batches"] = [], [{"name": "batch-gone", "start": 2, "end": 2}]
     with open(manifest, "w") as f:
         json.dump(held, f)
-    assert code(Engine, spark, folder) == "CORRUPTION"
+    assert code(lambda: Engine(spark, folder, on_event=lambda name, **x: events.append(name))) == "CORRUPTION"
+    assert events == ["engine.open.start", "directory.unknown.file", "snapshot.temp.ignored", "snapshot.temp.ignored", "wal.interior.corruption", "engine.recovery.failed"]
 
 
 def test_queue_traces_and_faults(spark, tmp_path, monkeypatch):
