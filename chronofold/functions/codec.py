@@ -8,10 +8,12 @@ little-endian.  Native expressions work on upper-case hex, as ``reverse`` and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,13 +192,73 @@ def _crc32c_table() -> list[int]:
 
 
 _TABLE = _crc32c_table()
-
-
-def crc32c(data: bytes, crc: int = 0) -> int:
-    crc ^= 0xFFFFFFFF
-    for b in data:
-        crc = crc >> 8 ^ _TABLE[(crc ^ b) & 255]
-    return crc ^ 0xFFFFFFFF
+_STEPS = np.array(_TABLE, np.uint32)
+#: Spans below this are taken byte by byte; longer ones in lanes, so many bytes at once.
+_SHORT, _AT_ONCE = 256, 1 << 20
+#: Spans taken side by side at the least.
+_FEW_SPANS = 8
+
+
+def _through(tables: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return tables[0][state & 255] ^ tables[1][state >> 8 & 255] ^ tables[2][state >> 16 & 255] ^ tables[3][state >> 24]
+
+
+@functools.cache
+def _zeros(log2: int) -> np.ndarray:
+    """What 2**log2 zero bytes make of each value of each of a register's four bytes."""
+    if log2:
+        half = _zeros(log2 - 1)
+        return _through(half, half)
+    state = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    return state >> 8 ^ _STEPS[state & 255]
+
+
+def _lanes(data, state: int) -> int:
+    """The register after ``data``: equal lanes side by side, then joined in pairs, as the register is linear."""
+    log2 = max(4, len(data).bit_length() // 2 - 2)
+    lanes = 1 << (-(-len(data) >> log2) - 1).bit_length()
+    padded = np.zeros(lanes << log2, np.uint8)  # zeros in front leave an empty register empty
+    padded[-len(data) :] = np.frombuffer(data, np.uint8)
+    padded[-len(data) :][:4] ^= np.frombuffer(struct.pack("<I", state), np.uint8)
+    found = np.zeros(lanes, np.uint32)
+    for column in np.ascontiguousarray(padded.reshape(lanes, -1).T):
+        found = found >> 8 ^ _STEPS[(found ^ column) & 255]
+    while len(found) > 1:
+        found = _through(_zeros(log2), found[::2]) ^ found[1::2]
+        log2 += 1
+    return int(found[0])
+
+
+def crc32c(data, crc: int = 0) -> int:
+    state = crc ^ 0xFFFFFFFF
+    if len(data) < _SHORT:
+        for b in data:
+            state = state >> 8 ^ _TABLE[(state ^ b) & 255]
+    else:
+        for at in range(0, len(data) - len(data) % _AT_ONCE, _AT_ONCE):
+            state = _lanes(data[at : at + _AT_ONCE], state)
+        if rest := len(data) % _AT_ONCE:
+            return crc32c(data[-rest:], state ^ 0xFFFFFFFF) if rest < _SHORT else _lanes(data[-rest:], state) ^ 0xFFFFFFFF
+    return state ^ 0xFFFFFFFF
+
+
+def crc32c_each(data, starts: np.ndarray, sizes: np.ndarray, crcs: np.ndarray | None = None) -> np.ndarray:
+    """Checksums of many spans of ``data``, side by side; ``crcs`` are those of what comes before each."""
+    octets = np.frombuffer(data, np.uint8)
+    order = np.argsort(-sizes, kind="stable")
+    at, size = starts[order], sizes[order]
+    state = ~(np.zeros(len(order), np.uint32) if crcs is None else crcs[order])
+    step, open_spans = 0, int(np.count_nonzero(size > 0))
+    while open_spans >= _FEW_SPANS:
+        now = state[:open_spans]
+        state[:open_spans] = now >> 8 ^ _STEPS[(now ^ octets[at[:open_spans] + step]) & 255]
+        step += 1
+        open_spans = int(np.searchsorted(-size, -step))
+    for i in range(open_spans):
+        state[i] = crc32c(data[at[i] + step : at[i] + size[i]], int(state[i]) ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+    out = np.empty_like(state)
+    out[order] = ~state
+    return out
 
 
 class Incomplete(Exception):
@@ -239,27 +301,66 @@ def encode_frame(seq: int, payload: bytes, spec: FormatSpec = DEFAULT) -> bytes:
     return head + struct.pack("<I", crc32c(payload, crc32c(head))) + payload
 
 
-def decode_frame(data: bytes, max_payload: int, spec: FormatSpec = DEFAULT) -> tuple[int, bytes, int]:
-    """(sequence, payload, size).  A checksum error carries the frame's ``size``; others have size 0."""
-    if len(data) < model.FRAME_HEADER_BYTES:
+def encode_frames(seqs: list[int], payloads: list[bytes], spec: FormatSpec = DEFAULT) -> list[bytes]:
+    """Many frames, their checksums side by side."""
+    heads = [spec.frame_magic + struct.pack("<BBHQI", spec.version, 1, 0, seq, len(payload)) for seq, payload in zip(seqs, payloads, strict=True)]
+    sizes = np.array([len(h) + len(p) for h, p in zip(heads, payloads, strict=True)], np.int64)
+    crcs = crc32c_each(b"".join(h + p for h, p in zip(heads, payloads, strict=True)), np.cumsum(sizes) - sizes, sizes)
+    return [h + struct.pack("<I", c) + p for h, c, p in zip(heads, crcs.tolist(), payloads, strict=True)]
+
+
+def _frame_head(data, at: int, max_payload: int, spec: FormatSpec) -> tuple[int, int, int]:
+    """(sequence, size, checksum) of the frame at ``at``, which is there in full."""
+    if len(data) - at < model.FRAME_HEADER_BYTES:
         raise Incomplete
-    version, record, flags, seq, declared, crc = struct.unpack_from("<BBHQII", data, 4)
-    _corrupt(data[:4] == spec.frame_magic, "frame: magic")
+    version, record, flags, seq, declared, crc = struct.unpack_from("<BBHQII", data, at + 4)
+    _corrupt(data[at : at + 4] == spec.frame_magic, "frame: magic")
     _corrupt(version == spec.version, "frame: version")
     _corrupt(record == 1, "frame: record type")
     _corrupt(flags == 0, "frame: flags")
     _corrupt(declared <= max_payload, "frame: declared length")
     size = model.FRAME_HEADER_BYTES + declared
-    if len(data) < size:
+    if len(data) - at < size:
         raise Incomplete
+    return seq, size, crc
+
+
+def _bad_checksum(size: int) -> ChangelogError:
+    error = ChangelogError("CORRUPTION", "frame: checksum")
+    error.size = size
+    return error
+
+
+def decode_frame(data: bytes, max_payload: int, spec: FormatSpec = DEFAULT) -> tuple[int, bytes, int]:
+    """(sequence, payload, size).  A checksum error carries the frame's ``size``; others have size 0."""
+    seq, size, crc = _frame_head(data, 0, max_payload, spec)
     payload = data[model.FRAME_HEADER_BYTES : size]
     if crc32c(payload, crc32c(data[:20])) != crc:
-        error = ChangelogError("CORRUPTION", "frame: checksum")
-        error.size = size
-        raise error
+        raise _bad_checksum(size)
     return seq, bytes(payload), size
 
 
+def decode_frames(data: bytes, at: int, max_payload: int, spec: FormatSpec = DEFAULT) -> tuple[list[tuple[int, int, int]], Exception | None]:
+    """(offset, size, sequence) of the frames from ``at`` on, up to the first that ``decode_frame`` refuses, and its error."""
+    found, crcs, error = [], [], None
+    while at < len(data) and error is None:
+        try:
+            seq, size, crc = _frame_head(data, at, max_payload, spec)
+        except (Incomplete, ChangelogError) as e:
+            error = e
+        else:
+            found.append((at, size, seq))
+            crcs.append(crc)
+            at += size
+    if found:
+        starts, sizes = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+        heads = crc32c_each(data, starts, np.full(len(found), 20))
+        bad = np.flatnonzero(crc32c_each(data, starts + model.FRAME_HEADER_BYTES, sizes - model.FRAME_HEADER_BYTES, heads) != np.array(crcs, np.uint32))
+        if len(bad):
+            return found[: bad[0]], _bad_checksum(found[bad[0]][1])
+    return found, error
+
+
 def encode_snapshot(applied: int, kv: dict[bytes, bytes], sessions: dict[bytes, tuple], spec: FormatSpec = DEFAULT) -> bytes:
     """``sessions``: client -> (last sequence, digest, kind, existed, applied sequence)."""
     parts = [struct.pack("<I", len(k)) + k + struct.pack("<I", len(v)) + v for k, v in sorted(kv.items())]

@@ -31,22 +31,27 @@ def write_segments(assigned: DataFrame, folder: str, spec: codec.FormatSpec = co
     ends = assigned.groupBy("segment").agg(F.min("global_seq").alias("start_seq"), F.max("global_seq").alias("end_seq"))
     newest = assigned.agg(F.max("segment").alias("newest"))
     named = ends.join(F.broadcast(newest)).select("segment", codec.segment_name(F.col("start_seq"), F.when(F.col("segment") < F.col("newest"), F.col("end_seq"))).alias("name"), "start_seq")
-    rows = assigned.join(named, "segment").repartition("segment").sortWithinPartitions("segment", "global_seq")
+    payload = F.unhex(codec.command_hex(*(F.col(c) for c in ("kind", "client", "request_seq", "key", "value"))))
+    # a number, so that small logs too are written by as many tasks as there are cores
+    tasks = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = assigned.join(named, "segment").repartition(tasks, "segment").sortWithinPartitions("segment", "global_seq")
+    rows = rows.select("segment", "name", "start_seq", "global_seq", payload.alias("payload"))
 
     def run(batches):
         own, stream, done = None, None, []
         fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
         for batch in batches:
-            for r in batch.select(["segment", "name", "start_seq", "global_seq", "kind", "client", "request_seq", "key", "value"]).to_pylist():
-                if r["segment"] != own:
+            segments, names, starts, seqs, payloads = (c.to_pylist() for c in batch.columns)
+            frames = codec.encode_frames(seqs, payloads, spec)
+            for segment, name, start, frame in zip(segments, names, starts, frames, strict=True):
+                if segment != own:
                     if stream is not None:
                         stream.close()
-                    own, stream = r["segment"], fs.open_output_stream(f"{at}/{r['name']}", compression=None)
-                    stream.write(codec.encode_segment_header(r["start_seq"], spec))
-                    done.append({"segment": own, "name": r["name"]})
-                value = None if r["value"] is None else r["value"].encode()
-                stream.write(codec.encode_frame(r["global_seq"], codec.encode_command(r["kind"], client_bytes(r["client"]), r["request_seq"], r["key"].encode(), value), spec))
+                    own, stream = segment, fs.open_output_stream(f"{at}/{name}", compression=None)
+                    stream.write(codec.encode_segment_header(start, spec))
+                    done.append({"segment": own, "name": name})
+                stream.write(frame)
         if stream is not None:
             stream.close()
         if done:
@@ -64,21 +69,19 @@ def frames_of(name: str, data: bytes, most: int, spec: codec.FormatSpec = codec.
     except ChangelogError as e:
         yield row(offset=0, size=0, error=e.detail)
         return
-    at, view = codec.model.SEGMENT_HEADER_BYTES, memoryview(data)
+    at = codec.model.SEGMENT_HEADER_BYTES
     yield row(offset=0, size=at)
-    while at < len(data):
-        try:
-            seq, payload, size = codec.decode_frame(view[at:], most, spec)
-        except codec.Incomplete:
-            yield row(offset=at, size=0, error="frame: incomplete", incomplete=True)
-            return
-        except ChangelogError as e:
-            yield row(offset=at, size=getattr(e, "size", 0), error=e.detail)
-            return
+    found, error = codec.decode_frames(data, at, most, spec)
+    for at, size, seq in found:
+        payload = data[at + codec.model.FRAME_HEADER_BYTES : at + size]
         n = int.from_bytes(payload[26:30], "little")
         value = payload[34 + n :].decode() if payload[1] == PUT else None
         yield row(offset=at, size=size, seq=seq, kind=payload[1], client=int.from_bytes(payload[2:10], "little"), request_seq=int.from_bytes(payload[18:26], "little"), key=payload[30 : 30 + n].decode(), value=value)
-        at += size
+    end = sum(found[-1][:2]) if found else codec.model.SEGMENT_HEADER_BYTES
+    if isinstance(error, codec.Incomplete):
+        yield row(offset=end, size=0, error="frame: incomplete", incomplete=True)
+    elif error is not None:
+        yield row(offset=end, size=getattr(error, "size", 0), error=error.detail)
 
 
 def read_frames(spark: SparkSession, folder: str, settings: StorageSettings | None = None, spec: codec.FormatSpec = codec.DEFAULT) -> DataFrame:

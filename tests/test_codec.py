@@ -1,7 +1,9 @@
 import dataclasses
 import hashlib
+import random
 import struct
 
+import numpy as np
 import pytest
 from chronofold.functions import codec
 from chronofold.model import ChangelogError, ConsensusSettings, StorageSettings, code_of
@@ -15,6 +17,50 @@ def test_crc32c_check_value():
     assert codec.crc32c(b"123456789") == 0xE3069283
 
 
+def byte_by_byte(data, crc=0):
+    state = crc ^ 0xFFFFFFFF
+    for b in data:
+        state ^= b
+        for _ in range(8):
+            state = state >> 1 ^ (0x82F63B78 if state & 1 else 0)
+    return state ^ 0xFFFFFFFF
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000, 65537, (1 << 20) - 1, (1 << 20) + 3, (1 << 20) + 256])
+def test_long_checksums_are_those_of_each_byte(n):
+    data = random.Random(n).randbytes(n)
+    assert codec.crc32c(data, 12345) == byte_by_byte(data, 12345)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 100), st.integers(0, 2**32 - 1)), max_size=40))
+def test_checksums_side_by_side(spans):
+    data = random.Random(1).randbytes(1000)
+    starts, sizes, crcs = (np.array([x[i] for x in spans], np.int64) for i in range(3))
+    assert codec.crc32c_each(data, starts, sizes, crcs.astype(np.uint32)).tolist() == [byte_by_byte(data[a : a + n], c) for a, n, c in spans]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=30), min_size=1, max_size=20), st.integers(0, 400), st.integers(0, 255))
+def test_many_frames_are_read_as_one_by_one(payloads, at, new):
+    frames = codec.encode_frames(list(range(1, len(payloads) + 1)), payloads)
+    assert frames == [codec.encode_frame(i, p) for i, p in enumerate(payloads, 1)]
+    data = b"".join(frames)
+    data = broken(data, at, bytes([new])) if at < len(data) else data[:-1]  # a byte of some frame, or the end cut off
+    want, offset, error = [], 0, None
+    while offset < len(data) and error is None:
+        try:
+            seq, _, size = codec.decode_frame(data[offset:], 25)
+        except (codec.Incomplete, ChangelogError) as e:
+            error = e
+        else:
+            want.append((offset, size, seq))
+            offset += size
+    got, found = codec.decode_frames(data, 0, 25)
+    assert got == want
+    assert type(found) is type(error) and str(found) == str(error) and getattr(found, "size", 0) == getattr(error, "size", 0)
+
+
 # vectors of the format: PUT of alpha = beta, client 1, request 1
 def test_format_vectors():
     command = codec.encode_command(1, CLIENT, 1, b"alpha", b"beta")
