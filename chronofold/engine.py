@@ -171,11 +171,15 @@ class Engine:
             raise
         except Exception as e:
             trace.abandon("STORAGE")
-            self.counters["storage_failures"] += 1
-            self.state = FAULTED
-            self.emit("storage.failure", code="STORAGE")
-            self.emit("engine.faulted")
-            raise ChangelogError("STORAGE", "the outcome of the batch is unknown", e) from e
+            raise self._fault("batch", e) from e
+
+    def _fault(self, what: str, cause: Exception) -> ChangelogError:
+        """A failure on the way to the manifest: it may or may not name the new files, so nothing more is served."""
+        self.counters["storage_failures"] += 1
+        self.state = FAULTED
+        self.emit("storage.failure", code="STORAGE")
+        self.emit("engine.faulted")
+        return ChangelogError("STORAGE", f"the outcome of the {what} is unknown", cause)
 
     def _apply(self, requests: DataFrame, trace: Recorder) -> DataFrame:
         s = self.settings
@@ -313,7 +317,12 @@ class Engine:
             raise  # nothing was published: go on serving
         finally:
             self.snapshotting = False
-        self._publish({**self.manifest, "snapshots": [*self.manifest["snapshots"], {"name": name, "seq": at}]})
+        try:
+            self._publish({**self.manifest, "snapshots": [*self.manifest["snapshots"], {"name": name, "seq": at}]})
+        except Exception as e:
+            self.emit("snapshot.failed", sequence=at)
+            trace.abandon("STORAGE")
+            raise self._fault("snapshot", e) from e
         self.emit("snapshot.published", sequence=at)
         trace.span("snapshot_rename")
         self.compact()
@@ -327,7 +336,10 @@ class Engine:
         through = snapshots[-1]["seq"] if snapshots else 0
         keep = snapshots[-model.RETAINED_SNAPSHOTS :]
         gone = [os.path.join("log", b["name"]) for b in self.manifest["batches"] if b["end"] <= through] + [os.path.join("snapshots", x["name"]) for x in snapshots if x not in keep]
-        self._publish({**self.manifest, "batches": [b for b in self.manifest["batches"] if b["end"] > through], "snapshots": keep})
+        try:
+            self._publish({**self.manifest, "batches": [b for b in self.manifest["batches"] if b["end"] > through], "snapshots": keep})
+        except Exception as e:
+            raise self._fault("compaction", e) from e
         for path in gone:  # what is left behind is never read again
             with contextlib.suppress(OSError):
                 shutil.rmtree(os.path.join(self.dir, path))
@@ -344,11 +356,15 @@ class Engine:
             "replayed": self.replayed, "truncated_bytes": 0, **self.counters,
         }
 
-    def close(self) -> None:
-        """Again and again does no harm."""
-        if self.state != CLOSED:
-            self.emit("engine.close.start")
+    def close(self) -> list[int]:
+        """Tickets still in the queue, which were not executed.  Again and again does no harm; a faulted engine stays so."""
+        if self.lock.closed:
+            return []
+        self.emit("engine.close.start")
+        left, self.queue = [r[0] for r in self.queue], []
+        if self.state != FAULTED:
             self.state = CLOSED
-            self.lock.close()
-            self.emit("engine.close.complete")
+        self.lock.close()
+        self.emit("engine.close.complete", sequence=self.applied)
+        return left
 

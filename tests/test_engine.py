@@ -102,6 +102,17 @@ def test_queue_traces_and_faults(spark, tmp_path, monkeypatch):
     engine.close()
     engine = Engine(spark, folder)
     assert engine.get("x")[1] is False and engine.put(1, 2, "x", "1")["applied_seq"] == 2
+    # so does a snapshot's; what is queued at a close was not executed
+    told = []
+    engine.emit = lambda name, **x: told.append(name)
+    ticket = engine.submit(1, 3, 1, "y", "1")
+    monkeypatch.setattr(Engine, "_publish", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    assert code(engine.create_snapshot) == "STORAGE" and code(engine.get, "x") == "FAULTED"
+    monkeypatch.undo()
+    assert engine.close() == [ticket] and engine.close() == [] and code(engine.get, "x") == "FAULTED"
+    assert told == ["snapshot.start", "snapshot.failed", "storage.failure", "engine.faulted", "engine.close.start", "engine.close.complete"]
+    engine = Engine(spark, folder)
+    assert engine.get("x") == ("1", True, 2) and engine.get("y")[1] is False and engine.create_snapshot() == "snapshot-00000000000000000002"
     engine.close()
 
 
