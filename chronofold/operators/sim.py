@@ -8,6 +8,7 @@ a trace; the checks of ``invariants`` style are aggregations over traces.
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ class Member:
         self.set, self.term, self.vote, self.log = settings.checked(), term, vote, list(log)
         self.rng = random.Random(settings.seed * 1_000_003 + settings.node)
         self.role, self.leader, self.commit, self.out, self.seen = "Follower", 0, 0, [], []
+        self.sent = Counter()  # messages by kind
         self._wait()
 
     # terms are numbers from 1; the log is a list of (term, data), index 1 first
@@ -41,6 +43,7 @@ class Member:
         self.elapsed, self.patience = 0, self.rng.randrange(self.set.election_tick_min, self.set.election_tick_max)
 
     def _say(self, kind: str, to: int, **x) -> None:
+        self.sent[kind] += 1
         self.out.append({"kind": kind, "src": self.set.node, "dst": to, "term": self.term, **x})
 
     def _note(self, kind: str, idx: int = 0, data: str = "", detail: str = "") -> None:
@@ -64,10 +67,11 @@ class Member:
             self.campaign()
 
     def campaign(self) -> None:
+        why = "timeout" if self.elapsed >= self.patience else "forced"
         self.role, self.leader, self.term, self.vote = "Candidate", 0, self.term + 1, self.set.node
         self.votes = {self.set.node: True}
         self._wait()
-        self._note("election_started")
+        self._note("election_started", detail=why)
         idx, term = self.last()
         for p in self.set.peers:
             if p != self.set.node:
