@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import io
+import itertools
 import struct
 from dataclasses import dataclass
 
@@ -361,43 +363,51 @@ def decode_frames(data: bytes, at: int, max_payload: int, spec: FormatSpec = DEF
     return found, error
 
 
+def encode_snapshot_header(applied: int, keys: int, clients: int, size: int, spec: FormatSpec = DEFAULT) -> bytes:
+    """All of the header but the checksum, which covers it and the payload of ``size`` bytes."""
+    return spec.snapshot_magic + struct.pack("<B3xQQQQ", spec.version, applied, keys, clients, size)
+
+
 def encode_snapshot(applied: int, kv: dict[bytes, bytes], sessions: dict[bytes, tuple], spec: FormatSpec = DEFAULT) -> bytes:
     """``sessions``: client -> (last sequence, digest, kind, existed, applied sequence)."""
     parts = [struct.pack("<I", len(k)) + k + struct.pack("<I", len(v)) + v for k, v in sorted(kv.items())]
     parts += [c + struct.pack("<Q32sBBQ", *s) for c, s in sorted(sessions.items())]
     payload = b"".join(parts)
-    head = spec.snapshot_magic + struct.pack("<B3xQQQQ", spec.version, applied, len(kv), len(sessions), len(payload))
+    head = encode_snapshot_header(applied, len(kv), len(sessions), len(payload), spec)
     return head + struct.pack("<I", crc32c(payload, crc32c(head))) + payload
 
 
-def decode_snapshot(data: bytes, settings: model.StorageSettings | None = None, spec: FormatSpec = DEFAULT) -> tuple[int, dict, dict]:
-    s = (settings or model.StorageSettings()).checked()
+def decode_snapshot_header(data: bytes, settings: model.StorageSettings | None = None, spec: FormatSpec = DEFAULT) -> tuple[int, int, int, int, int]:
+    """(applied, keys, sessions, payload bytes, checksum); counts are bounded only where ``settings`` are given."""
     _corrupt(len(data) >= model.SNAPSHOT_HEADER_BYTES, "snapshot: short")
     _corrupt(data[:4] == spec.snapshot_magic, "snapshot: magic")
     _corrupt(data[4] == spec.version, "snapshot: version")
     _corrupt(not any(data[5:8]), "snapshot: reserved bytes")
-    applied, keys, clients, size, crc = struct.unpack_from("<QQQQI", data, 8)
-    _corrupt(keys <= s.max_keys and clients <= s.max_sessions and size <= s.max_snapshot_payload, "snapshot: a count is out of range")
-    payload = data[model.SNAPSHOT_HEADER_BYTES :]
-    _corrupt(len(payload) == size, "snapshot: payload length")
-    _corrupt(crc32c(payload, crc32c(data[:40])) == crc, "snapshot: checksum")
-    at, kv, sessions, last = 0, {}, {}, b""
+    head = struct.unpack_from("<QQQQI", data, 8)
+    _corrupt(settings is None or (head[1] <= settings.max_keys and head[2] <= settings.max_sessions and head[3] <= settings.max_snapshot_payload), "snapshot: a count is out of range")
+    return head
+
+
+def snapshot_entries(read, head: tuple[int, int, int, int, int], settings: model.StorageSettings | None = None):
+    """(key, value) pairs and then (client, entry) pairs of the payload that ``read(n)`` gives; lengths are bounded only where ``settings`` are given."""
+    applied, keys, clients, size, _ = head
+    at, last = 0, b""
 
     def take(n: int) -> bytes:
         nonlocal at
         _corrupt(at + n <= size, "snapshot: payload ends early")
         at += n
-        return payload[at - n : at]
+        return read(n)
 
     for _ in range(keys):
         n = struct.unpack("<I", take(4))[0]
-        _corrupt(1 <= n <= s.max_key_bytes, "snapshot: key length")
+        _corrupt(1 <= n and (settings is None or n <= settings.max_key_bytes), "snapshot: key length")
         key = take(n)
         _corrupt(key > last, "snapshot: key order")
         last = key
         n = struct.unpack("<I", take(4))[0]
-        _corrupt(n <= s.max_value_bytes, "snapshot: value length")
-        kv[key] = take(n)
+        _corrupt(settings is None or n <= settings.max_value_bytes, "snapshot: value length")
+        yield key, take(n)
     last = bytes(16)
     for _ in range(clients):
         client = take(16)
@@ -405,6 +415,15 @@ def decode_snapshot(data: bytes, settings: model.StorageSettings | None = None,
         last = client
         entry = struct.unpack("<Q32sBBQ", take(50))
         _corrupt(entry[0] > 0 and entry[2] in (PUT, DELETE) and entry[3] in (0, 1) and entry[4] <= applied, "snapshot: session entry")
-        sessions[client] = (*entry[:3], bool(entry[3]), entry[4])
+        yield client, (*entry[:3], bool(entry[3]), entry[4])
     _corrupt(at == size, "snapshot: trailing bytes")
-    return applied, kv, sessions
+
+
+def decode_snapshot(data: bytes, settings: model.StorageSettings | None = None, spec: FormatSpec = DEFAULT) -> tuple[int, dict, dict]:
+    s = (settings or model.StorageSettings()).checked()
+    head = decode_snapshot_header(data, s, spec)
+    payload = data[model.SNAPSHOT_HEADER_BYTES :]
+    _corrupt(len(payload) == head[3], "snapshot: payload length")
+    _corrupt(crc32c(payload, crc32c(data[:40])) == head[4], "snapshot: checksum")
+    entries = snapshot_entries(io.BytesIO(payload).read, head, s)
+    return head[0], dict(itertools.islice(entries, head[1])), dict(entries)

@@ -1,11 +1,14 @@
 """Binary segment and snapshot files: written by tasks, read through ``binaryFile``.
 
-A segment or a snapshot is one file, so a task holds one at a time; segments are
-bounded by their target size, and a snapshot file by the key limit.
+A segment or a snapshot is one file.  A task holds a segment whole, which its target
+size bounds; a snapshot file, as large as the state, goes through a task in pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from chronofold.operators.layout import _HALF, _half_state, assign_segments, cha
 from chronofold.sources.changelog import cmd_log, sql
 
 FRAME_SCHEMA = "segment string, offset long, size long, seq long, kind int, client long, request_seq long, key string, value string, error string, incomplete boolean, length long"
+#: Bytes of a snapshot file that a task reads at once, and rows that it gives at once.
+SNAPSHOT_BYTES, SNAPSHOT_ROWS = 8 << 20, 10_000
 
 
 def client_bytes(client: int) -> bytes:
@@ -168,55 +173,108 @@ def recover(spark: SparkSession, folder: str, snapshot_seq: int = 0) -> tuple[Da
     return good.where(F.col("seq") > snapshot_seq), dropped
 
 
-def write_snapshot(commands: DataFrame, folder: str) -> str:
-    """One snapshot file of the state after ``commands``; published by a rename once read back and found equal."""
+def _pieces(stream):
+    while piece := stream.read(SNAPSHOT_BYTES):
+        yield piece
+
+
+def _proven(fs, path: str, settings: StorageSettings | None = None) -> tuple[tuple, str]:
+    """Header, and hash of the payload, of a snapshot file that is as long as its header says and has its checksum."""
+    with fs.open_input_stream(path, compression=None) as f:
+        data = f.read(codec.model.SNAPSHOT_HEADER_BYTES)
+        head, crc, size, hashed = codec.decode_snapshot_header(data, settings), codec.crc32c(data[:40]), 0, hashlib.sha256()
+        for piece in _pieces(f):
+            crc, size = codec.crc32c(piece, crc), size + len(piece)
+            hashed.update(piece)
+    if size != head[3]:
+        raise ChangelogError("CORRUPTION", "snapshot: payload length")
+    if crc != head[4]:
+        raise ChangelogError("CORRUPTION", "snapshot: checksum")
+    return head, hashed.hexdigest()
+
+
+def _entries(fs, path: str, head: tuple, settings: StorageSettings | None = None):
+    with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
+        f.read(codec.model.SNAPSHOT_HEADER_BYTES)
+        yield from codec.snapshot_entries(f.read, head, settings)
+
+
+def write_snapshot(commands: DataFrame, folder: str, settings: StorageSettings | None = None) -> str:
+    """One snapshot file of the state after ``commands``; published by a rename once read back and found equal.
+
+    Rows are encoded in parallel; one task sorts them (spilling) and streams them to
+    the file.  The header has counts and a checksum of what follows, so the payload is
+    written first, to a file of its own.  All keys and sessions go into the file;
+    ``settings``, where given, refuse a state beyond their limits.
+    """
     spark = commands.sparkSession
-    state = latest_state(commands).select(F.lit(0).alias("part"), F.col("key").alias("k"), F.col("value").alias("v"))
-    sessions = session_table(commands).select(F.lit(0).alias("part"), F.struct("client", "last_sequence", "digest", "result_kind", "existed", "applied_seq").alias("s"))
+    limits = settings and settings.checked()
+    piece = lambda c: F.concat(codec.le_hex(F.octet_length(c), 4), F.hex(F.encode(c, "utf-8")))
+    state = latest_state(commands).select(F.lit(0).alias("part"), F.encode("key", "utf-8").alias("k"), F.unhex(F.concat(piece(F.col("key")), piece(F.col("value")))).alias("entry"))
+    sessions = session_table(commands).select(F.lit(1).alias("part"), F.unhex(codec.client_hex(F.col("client"))).alias("k"), F.unhex(codec.session_hex()).alias("entry"))
     applied = commands.agg(F.max("global_seq")).first()[0]
     name = f"snapshot-{applied:020d}.snap"
 
     def run(batches):
-        kv, entries = {}, {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["s"] is None:
-                    kv[r["k"].encode()] = r["v"].encode()
-                else:
-                    s = r["s"]
-                    entries[client_bytes(s["client"])] = (s["last_sequence"], bytes.fromhex(s["digest"]), s["result_kind"], int(s["existed"]), s["applied_seq"])
-        data = codec.encode_snapshot(applied, kv, entries)
-        fs, at = filesystem(folder)
-        fs.create_dir(at, recursive=True)
         from pyspark import TaskContext
 
-        temporary = f"{at}/{name[:-5]}-{TaskContext.get().taskAttemptId()}.tmp"
-        with fs.open_output_stream(temporary, compression=None) as f:
-            f.write(data)
-        with fs.open_input_file(temporary) as f:
-            back = codec.decode_snapshot(f.read())
-        if back != (applied, kv, {c: (*e[:3], bool(e[3]), e[4]) for c, e in entries.items()}):
+        fs, at = filesystem(folder)
+        fs.create_dir(at, recursive=True)
+        stem = f"{at}/{name[:-5]}-{TaskContext.get().taskAttemptId()}"
+        counts, size, hashed = [0, 0], 0, hashlib.sha256()
+        with fs.open_output_stream(f"{stem}.payload.tmp", compression=None) as f:
+            for batch in batches:
+                parts = batch.column("part").to_pylist()
+                data = b"".join(batch.column("entry").to_pylist())
+                counts = [n + parts.count(i) for i, n in enumerate(counts)]
+                size += len(data)
+                hashed.update(data)
+                f.write(data)
+        head = codec.encode_snapshot_header(applied, *counts, size)
+        crc = codec.crc32c(head)
+        with fs.open_input_stream(f"{stem}.payload.tmp", compression=None) as f:
+            for data in _pieces(f):
+                crc = codec.crc32c(data, crc)
+        with fs.open_output_stream(f"{stem}.tmp", compression=None) as out, fs.open_input_stream(f"{stem}.payload.tmp", compression=None) as f:
+            out.write(head + struct.pack("<I", crc))
+            for data in _pieces(f):
+                out.write(data)
+        fs.delete_file(f"{stem}.payload.tmp")
+        back, digest = _proven(fs, f"{stem}.tmp", limits)
+        if back != (applied, *counts, size, crc) or digest != hashed.hexdigest():
             raise ChangelogError("CORRUPTION", "a snapshot did not read back as written")
-        fs.move(temporary, f"{at}/{name}")
+        for _ in _entries(fs, f"{stem}.tmp", back, limits):
+            pass  # raises where order, lengths or sessions are wrong
+        fs.move(f"{stem}.tmp", f"{at}/{name}")
         yield pa.RecordBatch.from_pylist([{"name": name}])
 
-    rows = state.withColumn("s", F.lit(None).cast(sessions.schema["s"].dataType)).unionByName(sessions.select("part", F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("v"), "s"))
+    rows = state.unionByName(sessions).repartition(1).sortWithinPartitions("part", "k")
     ship(spark)
-    return materialise(rows.drop("part").coalesce(1).mapInArrow(run, "name string"), "snapshot-names").first()["name"]
+    return materialise(rows.select("part", "entry").mapInArrow(run, "name string"), "snapshot-names").first()["name"]
 
 
-def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """key, value and applied sequence of a snapshot file."""
-    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", name).load(folder)
+def read_snapshot(spark: SparkSession, folder: str, name: str, settings: StorageSettings | None = None) -> DataFrame:
+    """key, value and applied sequence of a snapshot file, read in pieces by one task; ``settings``, where given, refuse one beyond their limits."""
+    limits = settings and settings.checked()
+    schema = pa.schema([("key", pa.string()), ("value", pa.string()), ("applied", pa.int64()), ("sessions", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                applied, kv, sessions = codec.decode_snapshot(r["content"])
-                rows = [{"key": k.decode(), "value": v.decode(), "applied": applied, "sessions": len(sessions)} for k, v in kv.items()]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("value", pa.string()), ("applied", pa.int64()), ("sessions", pa.int64())]))
-
-    return files.select("content").mapInArrow(run, "key string, value string, applied long, sessions long")
+        if not sum(b.num_rows for b in batches):
+            return
+        fs, at = filesystem(folder)
+        head, _ = _proven(fs, f"{at}/{name}", limits)
+        applied, keys, sessions = head[:3]
+        rows, size = [], 0
+        for i, (key, value) in enumerate(_entries(fs, f"{at}/{name}", head, limits)):
+            if i < keys:  # sessions follow, which are only checked
+                rows.append({"key": key.decode(), "value": value.decode(), "applied": applied, "sessions": sessions})
+                size += len(key) + len(value)
+            if rows and (len(rows) == SNAPSHOT_ROWS or size >= SNAPSHOT_BYTES):
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return ship(spark).range(0, 1, 1, 1).mapInArrow(run, "key string, value string, applied long, sessions long")
 
 
 def _wal_roundtrip(s, d):

@@ -1,11 +1,14 @@
 import os
 
+import duckdb
 import pytest
 from chronofold.functions import codec
-from chronofold.model import ChangelogError
+from chronofold.model import ChangelogError, StorageSettings
 from chronofold.sources import segments
 from chronofold.sources.segments import client_bytes, recover
 
+from tests.oracle import rows_of, rows_of_sql
+
 
 def frames(low, high):
     return [codec.encode_frame(i, codec.encode_command(1, client_bytes(1), i, b"k%d" % i, b"v")) for i in range(low, high + 1)]
@@ -86,3 +89,48 @@ def test_snapshot_file_round_trip(spark, tmp_path):
     name = segments.write_snapshot(commands, str(tmp_path))
     assert {(r["key"], r["value"], r["applied"]) for r in segments.read_snapshot(spark, str(tmp_path), name).collect()} == {("a", "", 4), ("é", "y", 4)}
     assert [x for x in os.listdir(tmp_path) if not x.startswith(".")] == [name]
+
+
+def many_clients(spark, n):
+    """One PUT of each of ``n`` clients, every key its own."""
+    return spark.range(1, n + 1).selectExpr("id AS global_seq", "id AS client", "1L AS request_seq", "1 AS kind", "concat('k', id) AS key", "concat('v', id) AS value")
+
+
+def test_a_snapshot_file_holds_more_sessions_than_the_default_limit(spark, tmp_path):
+    n = StorageSettings().checked().max_sessions + 1
+    name = segments.write_snapshot(many_clients(spark, n), str(tmp_path))
+    rows = segments.read_snapshot(spark, str(tmp_path), name)
+    assert {tuple(r) for r in rows.collect()} == {(f"k{i}", f"v{i}", n, n) for i in range(1, n + 1)}
+    data = (tmp_path / name).read_bytes()
+    applied, kv, sessions = codec.decode_snapshot(data, StorageSettings(max_sessions=n))
+    assert len(sessions) == n and codec.encode_snapshot(applied, kv, sessions) == data
+    for refused in (lambda: segments.read_snapshot(spark, str(tmp_path), name, StorageSettings()).collect(), lambda: segments.write_snapshot(many_clients(spark, n), str(tmp_path / "other"), StorageSettings())):
+        with pytest.raises(Exception, match="a count is out of range"):
+            refused()
+
+
+def test_snapshot_query_of_many_clients_equals_its_sql(spark, tmp_path):
+    n = 2 * (StorageSettings().checked().max_sessions + 1)
+    kinds = "CASE WHEN id % 7 = 0 THEN 'error' ELSE 'click' END"
+    spark.range(n).selectExpr("id AS event_id", "timestamp_micros(1000000 * id) AS ts", "id AS user_id", f"{kinds} AS event_type", "id / 4 AS value", "concat('{\"k\": ', id % 5000, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    names, got = rows_of(spark, segments.QUERIES["snapshot_roundtrip"], str(tmp_path))
+    assert (names, got) == rows_of_sql(con, segments.ORACLE_SQL["snapshot_roundtrip"])
+    assert got and {r[names.index("sessions")] for r in got} == {n // 2}
+
+
+@pytest.mark.parametrize("spoil", [lambda d: d[:-1], lambda d: d + b"\0", lambda d: d[:60] + b"?" + d[61:]])
+def test_a_damaged_snapshot_file_is_not_read(spark, tmp_path, spoil):
+    name = segments.write_snapshot(many_clients(spark, 3), str(tmp_path))
+    (tmp_path / f".{name}.crc").unlink(missing_ok=True)
+    (tmp_path / name).write_bytes(spoil((tmp_path / name).read_bytes()))
+    with pytest.raises(Exception, match="CORRUPTION"):
+        segments.read_snapshot(spark, str(tmp_path), name).collect()
+
+
+def test_long_values_of_a_snapshot_file(spark, tmp_path):
+    rows = [(i, 1, i, 1, f"k{i}", c * size) for i, (c, size) in enumerate([("é", 3 << 20), ("", 1), ("z", 9 << 20)], 1)]
+    commands = spark.createDataFrame(rows, "global_seq long, client long, request_seq long, kind int, key string, value string")
+    name = segments.write_snapshot(commands, str(tmp_path))
+    assert sorted(segments.read_snapshot(spark, str(tmp_path), name).select("key", "value").collect()) == [(r[4], r[5]) for r in rows]
