@@ -1,21 +1,24 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
-A vector is the sum of one word from each of ``books`` full-dimensional
+A vector's direction is the sum of one word from each of ``books`` full-dimensional
 codebooks.  The books are fitted on a bounded sample (residual k-means, then one
 joint least-squares step over beam-search codes); every row is then encoded by
-beam search and stored as its codes and the norm of its approximation.  A query
-scores all codes by lookup tables of its inner products with the words; the best
-``shortlist`` are reranked exactly, in double precision, on the original vectors.
-
-Codes travel in blocks: blocks of queries meet blocks of candidates through an
-equi-join on the query block, and the task of a query block keeps ``shortlist``
-candidates of each query from block to block, so what it passes on does not grow
-with the candidates.  No task holds more than one block pair, and nothing that
-grows with the data is broadcast.  Original vectors keep their own type on the way.
-
-The shortlist grows with the table (``shortlist_for``): among more candidates the
-true nearest lie closer together than the codes tell apart.  A ``shortlist`` of as
-many as there are candidates makes the search exact.
+beam search and stored as its codes and what they leave of its direction.
+
+A query scores all codes by lookup tables of its inner products with the words; the
+best ``shortlist`` are reranked exactly, in double precision, on the original vectors,
+and their k-th score is a floor.  No candidate's score is further from its guess than
+what its codes leave, times both lengths (Cauchy-Schwarz): whoever might reach the
+floor is reranked too.  So the result is that of an exact search for any rows, those
+that the codes hardly tell apart included; the codes decide only what is looked at.
+Where they leave over ``DENSE`` of a block open, its inner products in double
+precision, with their rounding bound, come between.
+
+Blocks of candidates (codes and vectors) meet blocks of queries through an equi-join
+on the pair of blocks; a pair's task answers with each query's ``k`` nearest of the
+block, and the nearest of those are the result.  No task holds more than one block
+pair, and nothing that grows with the data is broadcast.  Original vectors keep their
+own type on the way.
 
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components take no part, nor do rows with null vec_id or of another
@@ -38,13 +41,20 @@ from ._common import materialise, table
 #: Vectors that the codebooks are fitted on, at most, by the order of a hash.
 SAMPLE_ROWS = 8192
 BOOKS, WORDS, BEAM = 40, 32, 4
-#: Candidates of each query that are reranked exactly, at least; and the table's rows and k for which that suffices.
+#: Candidates of each query that set its floor, at least; and the table's rows and k for which they are nearly always enough.
 SHORTLIST, SUFFICES_AT, SUFFICES_FOR = 300, 50_000, 20
-CANDIDATE_BLOCK, QUERY_BLOCK, LEAST_QUERY_BLOCKS = 65_536, 4096, 24
+#: Rows of a block at most, and bytes of its vectors in double precision.
+CANDIDATE_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 65_536, 16_384, 32 << 20
+#: Pairs of blocks that keep a cluster busy, and the rows for which it is worth cutting a smaller block.
+LEAST_PAIRS, LEAST_CANDIDATES, LEAST_QUERIES = 24, 8192, 32
+#: Share of a block left open by the codes from which a product of all its vectors is cheaper than pairs one by one.
+DENSE = 1 / 24
+#: Queries, and pairs, that are looked at together.
+STEP, PAIRS = 16, 1 << 18
 
 
 def shortlist_for(candidates: int, k: int) -> int:
-    """Candidates to rerank among so many.
+    """Candidates to rerank first among so many.
 
     Scores thin out like a normal distribution's tail, in which the k-th of n lies
     about sqrt(2 ln(n / k)) deviations out; the candidates within the codes' error
@@ -131,23 +141,96 @@ class Quantiser:
         """(books, queries, words) inner products."""
         return np.stack([queries.astype(np.float32) @ b.T for b in self.books])
 
-    def best(self, queries: np.ndarray, own: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, keep: int, metric: str = "ip"):
-        """For each query the ``keep`` best candidates by lookup: (positions, scores) pairs."""
-        for a in range(0, len(queries), 16):
-            lookup = self.tables(queries[a : a + 16])
-            score = np.zeros((lookup.shape[1], len(codes)), np.float32)
-            for m in range(len(lookup)):
-                score += lookup[m].take(codes[:, m], axis=1)
-            if metric == "l2":
-                score = 2 * score - norms  # the query's own norm changes no order
-            elif metric == "cosine":
-                score /= np.sqrt(np.maximum(norms, 1e-30))
-            score[own[a : a + 16, None] == ids[None, :]] = -np.inf
-            n = min(keep, len(codes))
-            near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            for row, places in enumerate(near):
-                places = places[np.isfinite(score[row, places])]
-                yield a + row, places, score[row, places]
+    def guess(self, directions: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(queries, rows) inner products of directions with approximations; ``codes`` is (books, rows)."""
+        found = np.zeros((len(directions), codes.shape[1]), np.float32)
+        for table, places in zip(self.tables(directions), codes):
+            found += table.take(places, axis=1)
+        return found
+
+    def rounding(self) -> float:
+        """What single precision adds to the error of a guess for a direction, at most."""
+        books, _, dims = self.books.shape
+        return 4 * (books + dims) * float(np.finfo(np.float32).eps) * float(np.sqrt(self.norms.max(axis=1)).sum())
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; no square leaves the range of numbers."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    x = x / top
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / length, (top * length)[:, 0]
+
+
+class Nearest:
+    """The ``k`` candidates of a block that are nearest to each query of another."""
+
+    def __init__(self, model: Quantiser, metric: str, k: int, shortlist: int):
+        self.model, self.metric, self.k, self.shortlist = model, metric, k, shortlist
+
+    def line(self, asked: np.ndarray, lengths: np.ndarray):
+        """(scale, shift): a score is scale x (inner product of directions) + shift; the shift rounded up."""
+        if self.metric == "cosine":
+            return np.float64(1), np.float64(0)
+        both = asked[:, None] * lengths[None, :]
+        if self.metric == "ip":
+            return both, np.float64(0)
+        return 2 * both, -(asked[:, None] ** 2 + lengths[None, :] ** 2) * (1 - self.fine)
+
+    def exact(self, who: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """Scores of pairs, summed dimension by dimension: equal vectors score equally wherever they stand."""
+        out = np.empty(len(who))
+        for a in range(0, len(who), PAIRS):
+            i, j = who[a : a + PAIRS], what[a : a + PAIRS]
+            total = np.zeros(len(i))
+            for q, x in zip(self.q, self.x):
+                left, right = q[i], x[j]
+                total += (left - right) ** 2 if self.metric == "l2" else left * right
+            if self.metric == "cosine":
+                total /= np.sqrt(self.qq[i] * self.xx[j])
+            out[a : a + PAIRS] = -total if self.metric == "l2" else total
+        return out
+
+    @staticmethod
+    def below(most: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Surely below the floor; what left the range of numbers is not."""
+        return (most + 1e-300 < floor[:, None]) & (most > -np.inf)
+
+    def __call__(self, asked, queries, rows, vec_ids, vectors, codes, left):
+        """(query positions, candidate positions, scores) of some queries at a time; ``asked`` and ``rows`` tell a query's own row."""
+        queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
+        (uq, lq), (ux, lx) = directions(queries), directions(vectors)
+        self.q, self.x = np.ascontiguousarray(queries.T), np.ascontiguousarray(vectors.T)
+        self.qq, self.xx = (sum(t * t for t in side) for side in (self.q, self.x))
+        self.fine = 4 * (len(self.x) + 8) * np.finfo(np.float64).eps
+        codes, left = np.ascontiguousarray(codes.T), left + self.model.rounding()
+        first = min(self.shortlist, len(rows))
+        for a in range(0, len(asked), STEP):
+            part = slice(a, a + STEP)
+            own = asked[part, None] == rows[None, :]
+            scale, shift = self.line(lq[part], lx)
+            guess = self.model.guess(uq[part], codes)
+            order = -(scale * guess + shift)
+            order[own] = np.inf
+            near = np.argpartition(order, first - 1, axis=1)[:, :first]
+            who, what = np.repeat(np.arange(len(near)), first), near.ravel()
+            score = self.exact(a + who, what)
+            floor = np.full(len(near), -np.inf)
+            if first >= self.k:
+                floor = np.partition(np.where(own[who, what], -np.inf, score).reshape(near.shape), first - self.k, axis=1)[:, first - self.k]
+            if first < len(rows):
+                maybe = ~self.below(scale * (guess + left) + shift, floor) & ~own
+                maybe[who, what] = False
+                if maybe.mean() > DENSE:
+                    maybe &= ~self.below(scale * (uq[part] @ ux.T + self.fine) + shift, floor)
+                others = np.nonzero(maybe)
+                who, what, score = (np.concatenate(x) for x in ((who, others[0]), (what, others[1]), (score, self.exact(a + others[0], others[1]))))
+            kept = ~(score < floor[who]) & ~own[who, what]
+            who, what, score = who[kept], what[kept], score[kept]
+            order = np.lexsort((rows[what], vec_ids[what], np.where(np.isnan(score), -np.inf, -score), who))
+            who, what, score = who[order], what[order], score[order]
+            kept = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+            yield a + who[kept], what[kept], score[kept]
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -167,7 +250,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, name: str, blocks: int, schema: str, pack) -> DataFrame:
-    """Rows dealt evenly to ``blocks`` partitions, one packed row each, numbered by partition."""
+    """Rows dealt evenly to ``blocks`` partitions, one packed row each, numbered by partition; written once."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -176,12 +259,13 @@ def _packed(rows: DataFrame, name: str, blocks: int, schema: str, pack) -> DataF
         if held:
             yield pa.RecordBatch.from_pylist([{name: TaskContext.get().partitionId(), **pack(pa.Table.from_batches(held))}])
 
-    return rows.repartition(blocks).mapInArrow(run, f"{name} long, {schema}")
+    return materialise(rows.repartition(blocks).mapInArrow(run, f"{name} long, {schema}"), name)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int | None = None, metric: str = "ip") -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest found for each row that ``is_query`` (a test of vec_id) picks.
+    """query_id, rank, vec_id and score of the ``k`` nearest for each row that ``is_query`` (a test of vec_id) picks.
 
+    ``shortlist``: candidates of a block that set a query's floor; it changes the cost, not the result.
     ``metric``: "ip" (largest inner product), "l2" (score: negative squared distance) or "cosine".
     """
     rows = usable(vectors)
@@ -196,79 +280,55 @@ def search(vectors: DataFrame, is_query, k: int = 20, shortlist: int | None = No
         return spark.createDataFrame([], schema)
     shortlist = shortlist or shortlist_for(total, k)
     sample = rows.select("embedding", F.xxhash64("vec_id", "row").alias("h"), "row").orderBy("h", "row").limit(SAMPLE_ROWS).select("embedding").toArrow()
-    model = Quantiser.fit(_matrix(sample.column(0).combine_chunks()))
+    sample = _matrix(sample.column(0).combine_chunks()).astype(np.float64)
+    model = Quantiser.fit(directions(sample)[0])
     held = spark.sparkContext.broadcast(model)  # books x words vectors, whatever the data
+    real = np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    kind = np.uint8 if model.books.shape[1] <= 256 else np.uint16
 
-    def encode(batches):
-        model = held.value
-        for batch in batches:
-            codes = model.encode(_matrix(batch.column("embedding")))
-            norms = (model.decode(codes).astype(np.float64) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["row", "code", "norm"])
-
-    codes = materialise(rows.select("row", "embedding").mapInArrow(encode, "row long, code binary, norm double"), "codes")
+    most = max(1, BLOCK_BYTES // (8 * sample.shape[1]))
+    candidate_blocks = max(-(-total // min(CANDIDATE_BLOCK, most)), min(LEAST_PAIRS, -(-total // LEAST_CANDIDATES)))
+    query_blocks = max(-(-asked // min(QUERY_BLOCK, most)), min(-(-LEAST_PAIRS // candidate_blocks), -(-asked // LEAST_QUERIES)))
 
-    candidate_blocks = -(-total // CANDIDATE_BLOCK)
-    query_blocks = max(-(-asked // QUERY_BLOCK), min(LEAST_QUERY_BLOCKS, -(-asked // 32)))
+    def pack(t):
+        x = _matrix(t.column("embedding").combine_chunks())
+        return x, {"rows": t.column("row").to_numpy().tobytes(), "ids": t.column("vec_id").to_numpy().tobytes(), "vectors": x.tobytes()}
 
     def pack_codes(t):
-        return {"ids": t.column("row").to_numpy().tobytes(), "codes": b"".join(t.column("code").to_pylist()), "norms": t.column("norm").to_numpy().tobytes()}
+        x, found = pack(t)
+        model, x = held.value, directions(x.astype(np.float64))[0]
+        codes = model.encode(x)
+        left = np.concatenate([np.sqrt(((x[a : a + 1024] - model.decode(codes[a : a + 1024])) ** 2).sum(axis=1)) for a in range(0, len(x), 1024)])
+        return {**found, "codes": codes.tobytes(), "rest": left.tobytes()}
 
     def pack_queries(t):
-        return {"asked": t.column("row").to_numpy().tobytes(), "queries": _matrix(t.column("embedding").combine_chunks()).astype(np.float64).tobytes()}
-
-    blocks = _packed(codes, "candidate_block", candidate_blocks, "ids binary, codes binary, norms binary", pack_codes)
-    asking = _packed(queries.select("row", "embedding"), "query_block", query_blocks, "asked binary, queries binary", pack_queries)
-    # each candidate block goes to each query block: an equi-join on the query block's number
-    dealt = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    pairs = materialise(asking, "query-blocks").repartition(query_blocks, "query_block").join(dealt, "query_block")
+        return {f"asked_{name}": value for name, value in pack(t)[1].items()}
+
+    blocks = _packed(rows.select("row", "vec_id", "embedding"), "candidate_block", candidate_blocks, "rows binary, ids binary, vectors binary, codes binary, rest binary", pack_codes)
+    asking = _packed(queries.select("row", "vec_id", "embedding"), "query_block", query_blocks, "asked_rows binary, asked_ids binary, asked_vectors binary", pack_queries)
+    # each candidate block meets each query block: an equi-join on the pair's number
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    number = (F.col("query_block") * candidate_blocks + F.col("candidate_block")).alias("pair")
+    pairs = candidate_blocks * query_blocks
+    sides = [
+        blocks.withColumn("query_block", every(query_blocks)).select(number, *blocks.columns[1:]),
+        asking.withColumn("candidate_block", every(candidate_blocks)).select(number, *asking.columns[1:]),
+    ]
+    met = sides[0].repartition(pairs, "pair").join(sides[1].repartition(pairs, "pair"), "pair").drop("pair")
 
     def score(batches):
-        model = held.value
-        kind = np.uint8 if model.books.shape[1] <= 256 else np.uint16
-        block, near = None, {}  # the best so far of each query of the block at hand
+        nearest = Nearest(held.value, metric, k, shortlist)
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda n, i=i, batch=batch: batch.column(n)[i].as_py()
-                if get("query_block") != block:
-                    yield from told(near)
-                    block, near = get("query_block"), {}
-                own, ids = np.frombuffer(get("asked"), np.int64), np.frombuffer(get("ids"), np.int64)
-                q = np.frombuffer(get("queries"), np.float64).reshape(len(own), -1)
-                c = np.frombuffer(get("codes"), kind).reshape(len(ids), -1)
-                norms = np.frombuffer(get("norms"), np.float64)
-                for j, p, s in model.best(q, own, c, norms, ids, shortlist, metric):
-                    found = ids[p]
-                    if own[j] in near:
-                        found, s = np.concatenate([near[own[j]][0], found]), np.concatenate([near[own[j]][1], s])
-                        keep = np.lexsort((found, -s))[:shortlist]
-                        found, s = found[keep], s[keep]
-                    near[own[j]] = (found, s)
-        yield from told(near)
-
-    def told(near):
-        if near:
-            lists = list(near.values())
-            yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.int64()), pa.array([x[0] for x in lists], pa.list_(pa.int64())), pa.array([x[1] for x in lists], pa.list_(pa.float32()))], names=["asked_row", "near", "guess"])
-
-    partial = pairs.select("query_block", "asked", "queries", "ids", "codes", "norms").mapInArrow(score, "asked_row long, near array<long>, guess array<float>")
-    zipped = F.flatten(F.collect_list(F.transform(F.arrays_zip("guess", "near"), lambda x: F.struct((-x["guess"]).alias("g"), x["near"].alias("n")))))
-    merged = materialise(partial.groupBy("asked_row").agg(F.slice(F.sort_array(zipped), 1, shortlist).alias("short")), "shortlists")
-    short = merged.select("asked_row", F.explode(F.transform("short", lambda x: x["n"])).alias("near_row"))
-
-    # exact reranking on the original vectors
-    near = rows.select(F.col("row").alias("near_row"), "vec_id", F.col("embedding").alias("near_vector"))
-    asker = queries.select(F.col("row").alias("asked_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked_vector"))
-    double = lambda f: lambda x, y: f(x.cast("double"), y.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, double(lambda x, y: x * y)), F.lit(0.0), lambda t, x: t + x)
-    exact = {
-        "ip": dot("asked_vector", "near_vector"),
-        "l2": -F.aggregate(F.zip_with("asked_vector", "near_vector", double(lambda x, y: (x - y) * (x - y))), F.lit(0.0), lambda t, x: t + x),
-        "cosine": dot("asked_vector", "near_vector") / F.sqrt(dot("asked_vector", "asked_vector") * dot("near_vector", "near_vector")),
-    }[metric]
-    joined = short.join(near, "near_row").join(asker, "asked_row").select("asked_row", "query_id", "vec_id", "near_row", exact.alias("score"))
+                read = lambda n, of=np.int64, i=i, batch=batch: np.frombuffer(batch.column(n)[i].as_buffer(), of)
+                asked, asked_ids, rows, ids = read("asked_rows"), read("asked_ids"), read("rows"), read("ids")
+                wide = lambda n, of, many: read(n, of).reshape(len(many), -1)
+                for who, what, s in nearest(asked, wide("asked_vectors", real, asked), rows, ids, wide("vectors", real, rows), wide("codes", kind, rows), read("rest", np.float64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[who], asked_ids[who], rows[what], ids[what], s)], names=["asked_row", "query_id", "near_row", "vec_id", "score"])
+
+    found = materialise(met.mapInArrow(score, "asked_row long, query_id long, near_row long, vec_id long, score double"), "nearest")
     order = Window.partitionBy("asked_row").orderBy(F.desc("score"), "vec_id", "near_row")
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

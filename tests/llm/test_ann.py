@@ -64,6 +64,62 @@ def test_registered_query_against_brute_force(spark):
     assert hits >= 0.99 * 20 * len(got)
 
 
+def hard_rows(real):
+    """Wide noise that the books are spent on, a ball of near copies, whole copies, lengths over many powers of ten, a common offset."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: rng.normal(size=(n, 16))
+    ball = 4 * noise(1) + 1e-3 * noise(1200)
+    x = np.concatenate([3 * noise(400), ball, np.repeat(noise(1) * 5, 500, axis=0), noise(200) * 10.0 ** rng.uniform(-6, 6, size=(200, 1)), 50 + 0.1 * noise(200)])
+    return x.astype(real).astype(float), rng.permutation(len(x)) * 5
+
+
+@pytest.mark.parametrize(("metric", "real"), [("ip", "float"), ("ip", "double"), ("l2", "double"), ("cosine", "float")])
+def test_rows_that_the_codes_hardly_tell_apart(spark, metric, real):
+    x, ids = hard_rows(np.float32 if real == "float" else np.float64)
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], f"vec_id long, embedding array<{real}>")
+    got = {}
+    for r in ann.search(vectors, lambda c: c % 100 == 0, k=20, metric=metric).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    summed = lambda a: sum(a.T, np.zeros(len(a)))  # noqa: E731 - dimension by dimension, so that copies score equally
+    for i in np.flatnonzero(ids % 100 == 0):
+        dot = summed(x * x[i])
+        score = {"ip": dot, "l2": -summed((x - x[i]) ** 2), "cosine": dot / np.sqrt(summed(x[i : i + 1] ** 2) * summed(x * x))}[metric]
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:20]
+        assert sorted(got[ids[i]]) == [(n, int(ids[j]), float(score[j])) for n, j in enumerate(order, 1)]
+
+
+def test_registered_query_on_a_ball_of_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(600, 16)), 3 * rng.normal(size=(1, 16)) + 3e-4 * rng.normal(size=(1400, 16))])[rng.permutation(2000)].astype(np.float32).astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in ann.op4_additive_ann(spark, str(tmp_path)).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 2000, 20))
+    for i in got:
+        score = sum((x * x[i]).T, np.zeros(2000))
+        assert got[i] == [(int(j), float(score[j])) for j in np.lexsort((np.arange(2000), -score)) if j != i][:20]
+
+
+def test_vectors_beyond_the_range_of_single_precision(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)) * 10.0 ** rng.choice([-150, -40, 0, 40, 150], size=(600, 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, lambda c: c % 20 == 0, k=20, shortlist=30).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for i in range(0, 600, 20):
+        score = sum((x * x[i]).T)
+        assert got[i] == [int(j) for j in np.lexsort((np.arange(600), -score)) if j != i][:20]
+
+
+def test_the_shortlist_changes_no_result(spark):
+    vectors = spark.read.parquet(f"{SF_TINY}/embeddings.parquet")
+    run = lambda n: sorted(tuple(r) for r in ann.search(vectors, lambda c: c % 20 == 0, k=20, shortlist=n).collect())
+    assert run(5) == run(40) == run(100_000)
+
+
 def test_the_shortlist_grows_with_the_table():
     sizes = [ann.shortlist_for(n, 20) for n in (10, 1000, 50_000, 10**6, 10**9)]
     assert sizes[:3] == [300, 300, 300] and 300 < sizes[3] < sizes[4] < 5000
